@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.byte_bpe import op9
+from tessella.llm.chat import OP7_SQL, op7
 from tessella.llm.piece_counts import op10
+from tessella.llm.url_rules import OP8_SQL, op8
+from tessella.llm.warc import OP4_SQL, op4
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_warc": op4,
+        "op7_chat_format": op7,
+        "op8_url_rules": op8,
         "op9_byte_bpe": op9,
         "op10_token_counts": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc": OP4_SQL,
+        "op7_chat_format": OP7_SQL,
+        "op8_url_rules": OP8_SQL,
+    }

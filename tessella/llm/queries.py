@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.byte_bpe import op9
 from tessella.llm.chat import OP7_SQL, op7
 from tessella.llm.piece_counts import op10
+from tessella.llm.quality import op2
+from tessella.llm.secrets import OP1_SQL, op1
+from tessella.llm.tiling import op6
 from tessella.llm.url_rules import OP8_SQL, op8
 from tessella.llm.warc import OP4_SQL, op4
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_ledger": op1,
+        "op2_quality": op2,
         "op4_warc": op4,
+        "op6_benchmark_tiling": op6,
         "op7_chat_format": op7,
         "op8_url_rules": op8,
         "op9_byte_bpe": op9,
@@ -25,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_ledger": OP1_SQL,
         "op4_warc": OP4_SQL,
         "op7_chat_format": OP7_SQL,
         "op8_url_rules": OP8_SQL,

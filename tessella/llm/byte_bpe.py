@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,8 @@ from pyspark.sql import types as T
 
 from tessella.llm.runtime import ship
 
-STATES_KEPT = 2_000_000
-PIECES_KEPT = 400_000
+STATES_KEPT = 250_000
+PIECES_KEPT = 180_000  # of each of two generations
 VOCABULARY_BYTES = 64 << 20  # a broadcast vocabulary may not be larger than this
 
 
@@ -34,96 +37,128 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class MergeTransducer:
-    """Encodes one piece of bytes; see the module's docstring."""
+    """Encodes one piece of bytes; see the module's docstring.
+
+    A state keeps, for each position of its pending bytes, the last token of the encoding up to
+    there (-2: none that follows the anchor), where that token begins, and which positions are
+    live: a token of the vocabulary may begin there and reach beyond what has been read. An anchor
+    that forbids none of the tokens to come is forgotten (-3), so few states suffice.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
+        self.sorted = sorted(ranks)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[int, bytes]] = [(-1, b"")]
-        self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = [(b"", (-1,), (0,), ())]
+        self.number: dict[tuple[int, bytes, tuple[int, ...]], int] = {(-1, b"", ()): 0}
         self.steps: dict[int, tuple[tuple[int, ...], int]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
 
-    def by_rank(self, piece: bytes) -> list[int]:
-        """The defining procedure: join the neighbours of lowest rank until none can be joined."""
+    def joined(self, piece: bytes, down_to: int = 1) -> list[bytes]:
+        """The defining procedure: join the neighbours of lowest rank until none can be joined or few are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
             if rank == 1 << 62:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def half(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose join makes this one; None for a byte or a token that no join makes."""
+        if token not in self.halves:
+            parts = self.joined(self.bytes_of[token], 2)
+            whole = len(parts) == 2 and parts[0] in self.ranks and parts[1] in self.ranks
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if whole else None
+        return self.halves[token]
 
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves b after a (a = -1: b at the start)."""
+        if a < 0:
+            return a == -3 or self.half(b) is not None or len(self.bytes_of[b]) == 1
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) > STATES_KEPT:
                 self.pairs.clear()
-            left = b"" if a < 0 else self.bytes_of[a]
-            known = self.by_rank(left + self.bytes_of[b]) == ([b] if a < 0 else [a, b])
-            self.pairs[a, b] = known
+            known = self.pairs[a, b] = self.seam(a, b)
         return known
 
-    def settle(self, anchor: int, pending: bytes) -> tuple[list[int], list[int]]:
-        """For each prefix of pending: its last token (-2: none follows the anchor) and where that begins."""
-        last, begin = [anchor], [0]
-        for end in range(1, len(pending) + 1):
-            found, at = -2, 0
-            for start in range(max(0, end - self.longest), end):
-                if last[start] == -2:
-                    continue
-                token = self.ranks.get(pending[start:end])
-                if token is not None and self.fits(last[start], token):
-                    found, at = token, start
-                    break
-            last.append(found)
-            begin.append(at)
-        return last, begin
-
-    def path(self, last: list[int], begin: list[int], end: int) -> list[tuple[int, int]]:
-        out = []
-        while end > 0:
-            out.append((end, last[end]))
-            end = begin[end]
-        return out[::-1]
+    def seam(self, a: int, b: int) -> bool:
+        """Undo the joins on both sides of the seam, latest first: no join across it may come before what was undone."""
+        ranks, text = self.ranks, self.bytes_of
+        bound = 1 << 62
+        while True:
+            across = ranks.get(text[a] + text[b])
+            if across is not None and across < bound and self.half(across) == (a, b):
+                return False
+            left, right = self.half(a), self.half(b)
+            if left is None and right is None:
+                return True
+            # The later of the two joins is undone; on equal ranks the left one was made first.
+            if right is None or left is not None and a > b:
+                bound, a = a, left[1]
+            else:
+                bound, b = b + 1, right[0]
+
+    def indifferent(self, anchor: int, rest: bytes) -> bool:
+        """Whether every token that begins with rest and goes on may follow the anchor; not looked at if they are many."""
+        low = bisect_right(self.sorted, rest)
+        high = low
+        while high < len(self.sorted) and self.sorted[high].startswith(rest):
+            high += 1
+            if high - low > 16:
+                return False
+        return all(self.fits(anchor, self.ranks[t]) for t in self.sorted[low:high])
 
     def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        anchor, pending = self.states[state]
+        pending, last, begin, live = self.states[state]
+        n = len(pending) + 1
         pending += bytes((byte,))
-        n = len(pending)
-        last, begin = self.settle(anchor, pending)
-        live = [p for p in range(n) if last[p] != -2 and pending[p:] in self.prefixes]
-        if last[n] != -2:
-            live.append(n)
-        common = self.path(last, begin, live[0])
-        for p in live[1:]:
-            other = self.path(last, begin, p)
-            keep = 0
-            while keep < min(len(common), len(other)) and common[keep] == other[keep]:
-                keep += 1
-            common = common[:keep]
-        cut, anchor = common[-1] if common else (0, anchor)
-        following = (anchor, pending[cut:])
-        if following not in self.number:
-            self.number[following] = len(self.states)
-            self.states.append(following)
-        made = tuple(t for _, t in common), self.number[following]
-        self.steps[state << 8 | byte] = made
+        if last[-1] != -2:
+            live += (n - 1,)
+        found, at = -2, 0
+        for start in live:
+            token = self.ranks.get(pending[start:])
+            if token is not None and self.fits(last[start], token):
+                found, at = token, start
+                break
+        last += (found,)
+        begin += (at,)
+        live = tuple([p for p in live if pending[p:] in self.prefixes])
+        meet = {*live, n} if found != -2 else {*live}
+        while len(meet) > 1:
+            far = max(meet)
+            meet.remove(far)
+            meet.add(begin[far])
+        cut = end = meet.pop()
+        out = []
+        while end:
+            out.append(last[end])
+            end = begin[end]
+        rest, anchor = pending[cut:], last[cut]
+        if cut < n and (cut not in live or self.indifferent(anchor, rest)):
+            anchor = -3
+        key = anchor, rest, last[cut + 1 :]
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
+            begin, live = tuple([x - cut for x in begin[cut:]]), tuple([p - cut for p in live])
+            self.states.append((rest, (anchor, *key[2]), begin, live))
+        made = self.steps[state << 8 | byte] = tuple(out[::-1]), number
         return made
 
-    def end(self, state: int) -> tuple[int, ...]:
-        out = self.ends.get(state)
-        if out is None:
-            last, begin = self.settle(*self.states[state])
-            out = self.ends[state] = tuple(t for _, t in self.path(last, begin, len(last) - 1))
-        return out
+    def end(self, state: int) -> list[int]:
+        _, last, begin, _ = self.states[state]
+        out, at = [], len(last) - 1
+        while at:
+            out.append(last[at])
+            at = begin[at]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:  # a piece that is a token stays whole
@@ -137,8 +172,7 @@ class MergeTransducer:
             if made[0]:
                 out += made[0]
             state = made[1]
-        out += self.end(state)
-        return out
+        return out + self.end(state)
 
 
 class Utf8Stream:
@@ -167,6 +201,13 @@ class Utf8Stream:
         return out
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     """Texts to packed ids (little-endian, 32 bits) and back."""
 
@@ -175,6 +216,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.machine = MergeTransducer(ranks)
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, r in ranks.items():
             self.token[r] = t
@@ -184,10 +226,13 @@ class Codec:
         for piece in self.split(text):
             ids = known.get(piece)
             if ids is None:
-                ids = np.asarray(self.machine.encode(piece.encode()), dtype="<u4").tobytes()
+                ids = self.older.get(piece)
+                if ids is None:
+                    ids = packed(self.machine.encode(piece.encode()))
                 if len(piece) <= 64:
                     if len(known) > PIECES_KEPT:
-                        known.clear()
+                        self.older = known
+                        known = self.pieces = {}
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -257,17 +302,39 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df with the number of tokens and digests of a text's ids and of what they decode to; ids do not leave the worker."""
+    spark = df.sparkSession
+    ship(spark)
+    vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    df = df.drop(*made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessella.llm.byte_bpe import codec
+
+        c = codec(vocabulary.value, pattern)
+        for b in batches:
+            numbers, digests, decoded = [], [], []
+            for t in b.column(text):
+                ids = c.encode(t.as_py() or "")
+                again = hashlib.sha256()
+                for part in c.decode(ids):
+                    again.update(part.encode())
+                numbers.append(len(ids) // 4)
+                digests.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(again.hexdigest())
+            cols = [pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.drop_columns([text]).columns, *cols], names=[*(n for n in b.schema.names if n != text), *made])
+
+    kept = [f for f in df.schema.fields if f.name != text]
+    out = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return df.mapInArrow(run, out)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded, then decoded from the ids; digests of both."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    made = decode_ids(encode_texts(docs, path, pattern).drop("text"), path, pattern)
-    return made.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -11,6 +11,7 @@ from tessella.llm.chat import OP7_SQL, op7
 from tessella.llm.piece_counts import op10
 from tessella.llm.quality import op2
 from tessella.llm.secrets import OP1_SQL, op1
+from tessella.llm.suffix_dedup import op3
 from tessella.llm.tiling import op6
 from tessella.llm.url_rules import OP8_SQL, op8
 from tessella.llm.warc import OP4_SQL, op4
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ledger": op1,
         "op2_quality": op2,
+        "op3_suffix_dedup": op3,
         "op4_warc": op4,
         "op6_benchmark_tiling": op6,
         "op7_chat_format": op7,

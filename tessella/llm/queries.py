@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.byte_bpe import op9
 from tessella.llm.chat import OP7_SQL, op7
+from tessella.llm.jaccard import op5
 from tessella.llm.piece_counts import op10
 from tessella.llm.quality import op2
 from tessella.llm.secrets import OP1_SQL, op1
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2,
         "op3_suffix_dedup": op3,
         "op4_warc": op4,
+        "op5_jaccard": op5,
         "op6_benchmark_tiling": op6,
         "op7_chat_format": op7,
         "op8_url_rules": op8,

@@ -17,7 +17,7 @@ Pairs within a group are skipped: links there cannot change the components.
 Words are runs of characters other than ASCII white space, with A-Z in lower case. A document with
 fewer words than SHINGLE has one shingle, the whole sequence. Edge cases: a text that is null or
 without words has no shingles, links with nothing and is its own component; rows with one doc_id
-are one node; a null doc_id counts as larger than all others.
+are one node; rows with a null doc_id link with nothing and have a null component.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def rare_first(owners: int):
             n = len(s)
             c = code[at : at + n]
             at += n
-            if not c.any():
+            if not c.any() or ids[i] == NULL_ID:
                 continue
             first = np.lexsort((s, c))[: n - -(-PERCENT * n // 100) + 1]
             first = first[c[first] > 0]
@@ -296,7 +296,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     ship(spark)
     blocks = StoredBlocks(docs)
     sizes = stored(blocks.rows.mapInArrow(profile, "doc_id long, block int, n long, keys array<long>"), "profiles")
-    keyed = sizes.select(F.explode("keys").alias("key"), "doc_id", "block", "n")
+    keyed = sizes.where(F.col("doc_id") != NULL_ID).select(F.explode("keys").alias("key"), "doc_id", "block", "n")
     heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "block", "n")).alias("head"), F.count("*").alias("times")).where("times > 1")
     near = keyed.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits("n", "head.n"))
     near = near.select("doc_id", "block", F.col("head.doc_id").alias("other"), F.col("head.block").alias("other_block")).distinct()

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _own_folder: list[str] = []
@@ -57,3 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct, so that no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(None).cast("int").alias("nothing"))
+    return docs.select("doc_id", "text", held.alias("_rest"))
+
+
+def unpack(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of like from what pack made of it."""
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in like.columns))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.runtime import table, work_folder
+from tessella.llm.runtime import pack, table, unpack, work_folder
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,16 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
+def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+    """docs with every finding in text replaced, through the ledger; an n_chars column follows the new text."""
+    update_ledger(docs, ledger, rules, version)
+    hits = ledger_of(docs.sparkSession, ledger).where((F.col("version") == version) & (F.size("found") > 0))
+    hits = hits.groupBy("blob").agg(F.first("found").alias("found"))
+    rows = addressed(pack(docs), "text").join(hits, "blob", "left")
+    out = unpack(rows.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found")))), docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat(x["kind"], F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
 

@@ -112,7 +112,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     spread = F.sequence(place(F.col("_key"), at, inclusive=False), place(F.col("_end"), at))
     given = given.withColumn("_part", F.explode(spread))
     both = rows.unionByName(given, allowMissingColumns=True)
-    both = both.repartition(parts, "_part").sortWithinPartitions("_part", "_key", "_kind")
+    both = both.repartitionById(parts, "_part").sortWithinPartitions("_part", "_key", "_kind")
     schema = T.StructType([both.schema["_row"], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     made = both.mapInArrow(sweep, schema)
     return made.select("_row.*", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

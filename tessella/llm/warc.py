@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     visits = large.join(answer, "digest").where("page_id IS NULL OR page_id < refers_to").where("refers_to IS NOT NULL").distinct()
     at = bounds(pages.select("page_id"), "page_id", parts)
     rows = pages.withColumn("kind", F.lit(1)).unionByName(visits.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("part", place(F.col("page_id"), at)).repartition(parts, "part")
+    rows = rows.withColumn("part", place(F.col("page_id"), at)).repartitionById(parts, F.col("part"))
     rows = rows.sortWithinPartitions("part", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,42 @@
+import numpy as np
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from tessella.llm import byte_bpe
+
+
+def words(prefix, n, step=7):
+    return " ".join(f"{prefix}{(k * step) % 211}x{k}" for k in range(n))
+
+
+def test_stages(spark, docs, tmp_path):
+    item = " ".join(f"bench{k}" for k in range(30))
+    clean, near = words("clean", 120), words("near", 150)
+    rows = [(1, clean), (2, near), (3, near.replace("near7x1 ", "other ")), (4, words("lead", 80) + " " + item), (5, words("key", 90) + " token: abcdefgh1234"), (6, "too short"), (7, None), (8, words("sym", 60).replace(" ", " $$$ %%% &&& ")), (2, near), (None, words("noid", 70)), (9, clean)]
+    table = docs(rows, extra=["kept", "leaks", "found", "n", "_rest"])
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, left = table, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == table.columns
+        left.append(sorted((r.doc_id for r in at.collect()), key=str))
+    assert 6 not in left[0] and 7 not in left[0] and {1, 2, 3, 4, 5, 9, None} <= set(left[0])
+    assert left[1] == sorted([d for d in left[0] if d not in (3, 9)], key=str)
+    assert left[2] == sorted([d for d in left[1] if d != 4], key=str) and left[3] == left[2]
+    assert {r.doc_id: r.text for r in at.collect()}[5].endswith(" [secret]")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.parse_ranks(byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    texts = {r.doc_id: r.text for r in at.collect()}
+    made = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(made) == len(left[3])
+    for r in made:
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids) // 4
+
+
+def test_no_documents(spark, docs, tmp_path):
+    docs([]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -10,8 +10,10 @@ Which rows meet which blocks is found without comparing all pairs, and without l
 1. Documents with a common least hash under one of SEEDS hash functions are compared with the
    smallest id among them. That joins groups of near copies in time linear in their size.
 2. Shingles are ordered by their document frequency, rare ones first. If two documents link, they
-   share one of the first n - ceil(0.8 n) + 1 shingles of both. Documents that share such a shingle
-   and are not yet in one group after step 1, and whose sizes allow a link, are compared.
+   share one of the first n - ceil(0.8 n) + 1 shingles of both, at places behind which enough are
+   left. First one document for each such shingle and group from step 1 meets those of the other
+   groups, which joins most groups that belong together; then all documents that share such a
+   shingle and are still in different groups, and whose sizes and places allow a link, are compared.
 Pairs within a group are skipped: links there cannot change the components.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case. A document with
@@ -186,7 +188,7 @@ REPLY = "block int, kind int, owner long, other long, data binary"
 
 
 def rare_first(owners: int):
-    """The shingles of which linked documents share one: (shingle, doc_id, block, n, label), without those that one document has."""
+    """The shingles of which linked documents share one: (shingle, doc_id, block, n, label, place), without those that one document has."""
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left.column("block")[0].as_py() if left.num_rows else 0
@@ -199,7 +201,7 @@ def rare_first(owners: int):
         if len(codes) != len(distinct):
             raise ValueError(f"{len(codes)} replies for {len(distinct)} shingles")
         code = codes[index]
-        at, out = 0, ([], [], [], [])
+        at, out = 0, ([], [], [], [], [])
         for i, s in enumerate(sets):
             n = len(s)
             c = code[at : at + n]
@@ -207,8 +209,10 @@ def rare_first(owners: int):
             if not c.any() or ids[i] == NULL_ID:
                 continue
             first = np.lexsort((s, c))[: n - -(-PERCENT * n // 100) + 1]
-            first = first[c[first] > 0]
+            spot = np.flatnonzero(c[first] > 0)
+            first = first[spot]
             out[0].append(s[first])
+            out[4].append(spot)
             for k, value in enumerate((ids[i], n, label.get(int(ids[i]), int(ids[i])))):
                 out[k + 1].append(np.full(len(first), value, dtype=np.int64))
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
@@ -220,6 +224,7 @@ def rare_first(owners: int):
                 "block": pa.array(np.full(len(shingle), block, dtype=np.int32)),
                 "n": pa.array(cat(out[2], np.int64)),
                 "label": pa.array(cat(out[3], np.int64)),
+                "place": pa.array(cat(out[4], np.int64)),
             }
         )
 
@@ -290,6 +295,22 @@ def fits(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
+def meeting(rows: DataFrame) -> DataFrame:
+    """Pairs of documents of different groups that share a shingle at places behind which enough are left for a link."""
+    x, y = rows.alias("x"), rows.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = (100 + PERCENT) * left >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    apart = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") > F.col("y.doc_id")) & fits("x.n", "y.n") & enough
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart)
+    return pairs.select("x.doc_id", "x.block", F.col("y.doc_id").alias("other"), F.col("y.block").alias("other_block")).distinct()
+
+
+def of_several(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose shingle more than one group has."""
+    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    return stored(rows.join(several, "shingle", "left_semi"), name)
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
@@ -300,23 +321,23 @@ def join_documents(docs: DataFrame) -> DataFrame:
     heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "block", "n")).alias("head"), F.count("*").alias("times")).where("times > 1")
     near = keyed.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits("n", "head.n"))
     near = near.select("doc_id", "block", F.col("head.doc_id").alias("other"), F.col("head.block").alias("other_block")).distinct()
-    first = stored(verified(blocks, near), "near")
+    groups = components(stored(verified(blocks, near), "near"))
 
-    groups = components(first)
     labels = sizes.select("doc_id", "block").join(groups.withColumnRenamed("node", "doc_id"), "doc_id").distinct()
     labels = labels.select("block", F.lit(1).alias("kind"), F.col("doc_id").alias("owner"), F.col("component").alias("other"), F.lit(None).cast("binary").alias("data"))
     asked = blocks.each(ask(blocks.owners), "owner int, block int, keys binary, counts binary")
     told = asked.groupBy("owner").applyInArrow(tell_frequency, REPLY)
-    rare = blocks.answer(told.unionByName(labels), rare_first(blocks.owners), "shingle long, doc_id long, block int, n long, label long").repartition(blocks.width, "shingle")
-    mixed_up = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    rare = stored(rare.join(mixed_up, "shingle", "left_semi"), "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    apart = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") > F.col("y.doc_id")) & fits("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart)
-    pairs = pairs.select("x.doc_id", "x.block", F.col("y.doc_id").alias("other"), F.col("y.block").alias("other_block")).distinct()
-    second = verified(blocks, pairs)
+    rare = blocks.answer(told.unionByName(labels), rare_first(blocks.owners), "shingle long, doc_id long, block int, n long, label long, place long")
+    rare = of_several(rare.repartition(blocks.width, "shingle"), "rare")
+
+    one = rare.groupBy("shingle", "label").agg(F.min_by(F.struct("doc_id", "block", "n", "place"), F.xxhash64("shingle", "doc_id")).alias("h"))
+    linked = stored(verified(blocks, meeting(one.select("shingle", "label", "h.*"))), "met")
+    stars = lambda g: g.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = components(stars(groups).unionByName(linked))
+    rare = rare.drop("label").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+    rare = of_several(rare.withColumn("label", F.coalesce("label", "doc_id")).repartition(blocks.width, "shingle"), "rest")
+    groups = components(stars(groups).unionByName(verified(blocks, meeting(rare))))
 
-    groups = components(first.unionByName(second))
     out = sizes.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     plain = lambda c: F.nullif(c, F.lit(NULL_ID))
     return out.select(plain(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(F.coalesce("component", "doc_id")).alias("component_id"))

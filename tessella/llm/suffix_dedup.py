@@ -40,7 +40,7 @@ GRAM = 20
 LONGEST_RUN = 64  # windows in a segment
 SHARED_BY = 1500  # documents from which on a route is split
 COLLECTION_BYTES = 1 << 20
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 15  # positions hashed at once: their arrays stay in a core's cache
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -79,7 +79,9 @@ class Segments:
         self.buffer = b"".join(texts)
         data = np.frombuffer(self.buffer, dtype=np.uint8)
         starts, lengths, routes = [], [], []
-        room = np.repeat(self.ends, self.sizes) - np.arange(len(data)) >= WINDOW
+        room = np.ones(len(data), dtype=bool)
+        for end, size in zip(self.ends.tolist(), self.sizes.tolist(), strict=True):
+            room[end - min(size, WINDOW - 1) : end] = False
         for at in range(0, len(data) - WINDOW + 1, AT_ONCE):
             part = data[at : at + AT_ONCE + WINDOW - 1]
             least = least_of(gram_hashes(part, GRAM), WINDOW - GRAM + 1)
@@ -251,40 +253,42 @@ def collection_bwt(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndar
         n = len(bwt)
         still = sizes[who] > j
         who, place = who[still], place[still]
-        order = np.argsort(bwt, kind="stable")
-        marks = n - np.count_nonzero(bwt)  # texts that are complete: their end marks are not inserted again
-        order = order[marks:].astype(np.int32)
+        counts = np.bincount(bwt, minlength=256)
+        marks = int(counts[0])  # texts that are complete: their end marks are not inserted again
+        order = np.argsort(bwt, kind="stable")[marks:].astype(np.int32)
         fresh = np.zeros(n, dtype=bool)
         fresh[place] = True
         fresh = fresh[order]
-        symbols = bwt[order]
-        first = np.r_[True, symbols[1:] != symbols[:-1]]
-        touched = (fresh | np.r_[False, fresh[:-1]]) & ~first
+        first = np.cumsum(counts[1:-1])
+        first = np.r_[0, first][counts[1:] > 0]  # where each symbol's suffixes begin in this order
+        touched = fresh.copy()
+        touched[1:] |= fresh[:-1]
+        touched[first] = False
         # Least LCP between each touched place and the one before it in this order, taken from right to left.
         k = np.flatnonzero(touched)
+        here = order[k]
         behind = np.full(n, -1, dtype=np.int32)
-        behind[order[k]] = order[k - 1]
+        behind[here] = order[k - 1]
         right = np.flatnonzero(behind >= 0)[::-1]
-        value = np.zeros(n, dtype=np.uint8)
+        value = np.empty(n, dtype=np.uint8)
         if len(right):
             bounds = np.empty(2 * len(right), dtype=np.int64)
             bounds[0::2], bounds[1::2] = behind[right] + 1, right + 1
             value[right] = np.minimum.reduceat(np.r_[lcp, np.uint8(0)], bounds)[0::2] + np.uint8(1)
         # Place all in the new order: end marks first, then one suffix for each symbol that has been read.
         total = m + len(order)
-        new = np.zeros(total, dtype=bool)
-        new[m:] = fresh
+        old = np.ones(total, dtype=bool)
+        added = np.flatnonzero(fresh)
+        old[m + added] = False
         next_bwt, next_lcp = np.empty(total, dtype=np.uint8), np.empty(total, dtype=np.uint8)
-        next_bwt[~new], next_lcp[~new] = bwt, lcp
-        spot = np.empty(n, dtype=np.int32)
-        spot[order] = np.arange(m, total, dtype=np.int32)
-        place = spot[place]
+        next_bwt[old], next_lcp[old] = bwt, lcp
+        number = np.empty(n, dtype=np.int32)
+        number[place] = np.arange(len(place), dtype=np.int32)
+        place[number[order[added]]] = m + added
         next_bwt[place] = symbol(who, j + 1)
-        changed = m + k
-        next_lcp[changed] = value[order[k]]
-        heads = m + np.flatnonzero(first & fresh)
-        next_lcp[heads] = 0
-        # An old suffix that now follows a new first one of its symbol is touched above, as it is not first.
+        next_lcp[m + k] = value[here]
+        # The first suffix of a symbol has nothing before it; one that was first until now is touched and so has been set.
+        next_lcp[m + first] = 0
         next_bwt.tofile(at_bwt)
         next_lcp.tofile(at_lcp)
     return np.fromfile(at_bwt, dtype=np.uint8), np.fromfile(at_lcp, dtype=np.uint8)
@@ -317,6 +321,41 @@ def least_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list
     return np.split(out, at[1:-1])
 
 
+def least_of_windows(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+    """As least_ids, with windows left out of the collection that a hash shows to be the only one of their kind."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    windows = sizes - WINDOW + 1
+    owner = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(len(owner)) + owner * (WINDOW - 1)
+    joined = b"".join(texts)
+    _, kind, times = np.unique(gram_hashes(np.frombuffer(joined, dtype=np.uint8), WINDOW)[at], return_inverse=True, return_counts=True)
+    twin = times[kind] > 1
+    out = ids[owner]
+    spots = np.flatnonzero(twin)
+    if len(spots):
+        cut = np.flatnonzero(np.r_[True, (np.diff(spots) != 1) | (np.diff(owner[spots]) != 0)])
+        low, high = at[spots[cut]], at[spots[np.r_[cut[1:] - 1, len(spots) - 1]]] + WINDOW
+        runs = [joined[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        out[spots] = np.concatenate(least_ids(runs, ids[owner[spots[cut]]]))
+    return np.split(out, np.cumsum(windows)[:-1])
+
+
+def reply(least: np.ndarray, varied: np.ndarray, windows: list[np.ndarray]) -> bytes:
+    """One id for each segment; where it varies, one for each of its windows behind them all."""
+    return zlib.compress(b"".join([np.int64(len(least)).tobytes(), least.tobytes(), varied.tobytes(), *(w.tobytes() for w in windows)]), 1)
+
+
+def replied(data: bytes, windows: np.ndarray) -> np.ndarray:
+    """The least id of every window of the segments, of which the first in windows have been answered here."""
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+    least = np.frombuffer(data, dtype=np.int64, count=n, offset=8)
+    varied = np.frombuffer(data, dtype=bool, count=n, offset=8 + 8 * n)
+    out = np.repeat(least, windows[:n])
+    out[np.repeat(varied, windows[:n])] = np.frombuffer(data, dtype=np.int64, offset=8 + 9 * n)
+    return out
+
+
 def meet(buckets: int):
     """Owner of a bucket: the least id of every window of every segment that was sent."""
 
@@ -344,21 +383,20 @@ def meet(buckets: int):
         hashed = np.array(hashes, dtype=np.uint64)
         _, same, times = np.unique(hashed, return_inverse=True, return_counts=True)
         shared = times[same] > 1 if len(texts) else np.zeros(0, dtype=bool)
-        answers = [np.full(len(t) - WINDOW + 1, i, dtype=np.int64) for t, i in zip(texts, least.tolist(), strict=True)]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        answers: dict[int, np.ndarray] = {}
         parts = max(1, -(-int(sizes[shared].sum()) // COLLECTION_BYTES))
         part = np.where(shared, (mixed(hashed) % np.uint64(parts)).astype(np.int64), -1)
         for p in range(parts):
             some = np.flatnonzero(part == p)
             if len(some):
-                for k, a in zip(some.tolist(), least_ids([texts[k] for k in some.tolist()], least[some]), strict=True):
-                    answers[k] = a
+                answers |= zip(some.tolist(), least_of_windows([texts[k] for k in some.tolist()], least[some]), strict=True)
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int32()).combine_chunks(),
                 "kind": pa.array([1] * len(sent), pa.int32()),
                 "owner": table.column("bucket").cast(pa.int32()).combine_chunks(),
-                "data": pa.array([zlib.compress(np.concatenate([answers[k] for k in mine.tolist()]).tobytes(), 1) for mine in sent], pa.binary()),
+                "data": pa.array([reply(least[mine], shared[mine], [answers[k] for k in mine[shared[mine]].tolist()]) for mine in sent], pa.binary()),
             }
         )
 
@@ -369,11 +407,13 @@ def remove(owners: int, buckets: int, texts_too: bool):
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Segments(left)
         texts, hashes, _, starts, lengths, segment = travellers(own, owners, of_kind(right, 0))
-        order, _, _ = by_bucket(hashes, buckets)
+        order, _, cuts = by_bucket(hashes, buckets)
         windows = np.array([len(t) - WINDOW + 1 for t in texts], dtype=np.int64)
-        got = np.frombuffer(b"".join(map(zlib.decompress, of_kind(right, 1))), dtype=np.int64)
-        if len(got) != windows.sum():
-            raise ValueError(f"{len(got)} replies for {windows.sum()} windows")
+        answers = of_kind(right, 1)
+        if len(answers) != len(cuts) - 1:
+            raise ValueError(f"{len(answers)} replies for {len(cuts) - 1} buckets")
+        parts = [replied(x, windows[order[a:]]) for x, a in zip(answers, cuts[:-1].tolist(), strict=True)]
+        got = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         begin = np.empty(len(texts), dtype=np.int64)
         begin[order] = np.cumsum(np.r_[0, windows[order][:-1]]) if len(order) else begin
         inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -382,8 +422,10 @@ def remove(owners: int, buckets: int, texts_too: bool):
         marked = at[least < own.ids[np.searchsorted(own.ends, at, side="right")]]
         size = len(own.buffer)
         depth = np.zeros(size + WINDOW + 1, dtype=np.int32)
-        depth[: size + 1] += np.bincount(marked, minlength=size + 1)[: size + 1].astype(np.int32)
-        np.subtract.at(depth, marked + WINDOW, 1)
+        starting = np.zeros(size + 1, dtype=bool)
+        starting[marked] = True  # a position starts one window
+        depth[: size + 1] += starting
+        depth[WINDOW : size + WINDOW + 1] -= starting
         gone = np.cumsum(depth)[:size] > 0
         data = np.frombuffer(own.buffer, dtype=np.uint8)
         rows = []

@@ -140,7 +140,7 @@ def money(c: Column) -> Column:
 
 
 def ledger_date(c: Column) -> Column:
-    return F.try_to_date(F.trim(c), "d-MMM-yyyy") if hasattr(F, "try_to_date") else F.expr(f"try_to_date(trim({c}), 'd-MMM-yyyy')")
+    return F.try_to_date(F.trim(c), "d-MMM-yyyy")
 
 
 def receipt_name(year: Column, seq: Column, description: Column, extension: Column) -> Column:
@@ -183,6 +183,10 @@ LANGUAGE_WORDS = {
 def language(c: Column, least: int = 40) -> Column:
     """The language most of whose frequent words occur; null for texts under least characters or without any."""
     words = words_in(c)
-    votes = F.array(*(F.struct((F.size(F.filter(words, lambda w, own=own: w.isin(*own)))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, own) in enumerate(sorted(LANGUAGE_WORDS.items()))))
+
+    def hits(own: tuple[str, ...]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+    votes = F.array(*(F.struct(hits(own).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, own) in enumerate(sorted(LANGUAGE_WORDS.items()))))
     best = F.array_max(votes)
     return F.when((F.length(F.trim(or_blank(c))) >= least) & (best["n"] > 0), best["code"])

@@ -103,7 +103,7 @@ def schema_error(data: Column, spec: dict, path: str = "$") -> Column:
 
     kind = spec.get("type")
     first = F.substring(F.ltrim(value), 1, 1)
-    if kind in kinds:
+    if isinstance(kind, str) and kind in kinds:
         test(value.isNotNull() & (first != kinds[kind]), f"is not of type {kind}")
     elif kind == "boolean":
         test(value.isNotNull() & ~value.isin("true", "false"), "is not of type boolean")

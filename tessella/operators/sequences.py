@@ -156,8 +156,15 @@ def frequencies(cells: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("percent", F.floor(100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by))).cast("int"))
 
 
-def pair_scores(a: str, b: str, kind: str = "nt") -> np.ndarray:
-    """+1 for equal or overlapping states, -1 for different ones, 0 where nothing is known."""
+def pair_scores(a: str, b: str, kind: str = "nt", matrix: dict[str, float] | None = None) -> np.ndarray:
+    """+1 for equal or overlapping states, -1 for different ones, 0 where nothing is known.
+
+    RY: a purine against a pyrimidine differs. matrix: substitution scores by two letters in
+    alphabetical order, which replace +1 and -1.
+    """
+    if kind == "RY":
+        table = str.maketrans({**dict.fromkeys(PURINES, "R"), **dict.fromkeys(PYRIMIDINES + "U", "Y")})
+        a, b, kind = a.upper().translate(table), b.upper().translate(table), "aa"
     sets = {k: set(v) for k, v in AMBIGUITY.items()}
     out = np.zeros(min(len(a), len(b)))
     for i, (x, y) in enumerate(zip(a.upper(), b.upper(), strict=False)):
@@ -167,11 +174,11 @@ def pair_scores(a: str, b: str, kind: str = "nt") -> np.ndarray:
                 continue
             out[i] = 1 / max(len(p), len(q)) if p & q else -1
         elif x not in "-X?" and y not in "-X?":
-            out[i] = 1 if x == y else -1
+            out[i] = (1 if x == y else -1) if matrix is None else matrix.get(min(x, y) + max(x, y), 0.0)
     return out
 
 
-def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 100, share: float = 0.95, seed: int = 42, kind: str = "nt", legacy: bool = False) -> DataFrame:
+def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 100, share: float = 0.95, seed: int = 42, kind: str = "nt", legacy: bool = False, matrix: dict[str, float] | None = None) -> DataFrame:
     """Site scores of each pair of sequences: a window is +1 if its sum exceeds what the share of resamples of its region reaches.
 
     df has (locus, a, b, seq_a, seq_b). Each pair draws from a generator seeded by (seed, locus, a,
@@ -184,7 +191,7 @@ def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 10
         for rows in batches:
             out = []
             for key, a, b, sa, sb in zip(rows[locus], rows["a"], rows["b"], rows["seq_a"], rows["seq_b"], strict=True):
-                s = pair_scores(sa, sb, kind)
+                s = pair_scores(sa, sb, kind, matrix)
                 draw = np.random.default_rng(zlib.crc32(f"{seed}:{key}:{a}:{b}".encode()))
                 site = np.zeros(len(s), dtype=np.int64)
                 for i in range(len(s) - w + 1):

@@ -140,7 +140,7 @@ def sheet_records(rows: DataFrame, columns: dict[int, str], first_row: int = 4,
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of results by id as rows (id, result as JSON text)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,string>")
     return whole.select(F.explode(entries).alias("id", "result"))
 
@@ -158,7 +158,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | StructType) ->
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """Two tab-separated columns; comments, blanks and other arities are left out, of repeated keys the last line wins."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where((F.trim("line") != "") & ~F.trim("line").startswith("#"))
     parts = F.split(F.trim("line"), "\t", -1)
     pairs = lines.where(F.size(parts) == 2).select("n", F.trim(parts[0]).alias("old_name"), F.trim(parts[1]).alias("new_name"))
@@ -218,7 +218,7 @@ def papers_from_dois(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bibtex(spark: SparkSession, path: str, pdf_folder: str | None = None) -> DataFrame:
     """One paper for each BibTeX entry; authors as 'Last First', the PDF from the file field's first PDF part."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.posexplode(F.split(F.concat(F.lit("\n"), "value"), r"\n\s*@")).alias("n", "entry")).where("n > 0")
     name = lambda f: F.regexp_replace(F.trim(F.regexp_extract("entry", rf"(?is)[,\n]\s*{f}\s*=\s*[{{\"](.*?)[}}\"]\s*(?:,\s*\n|\n\s*\}}|\}}\s*$)", 1)), r"[{}]", "")
     people = F.filter(F.split(F.regexp_replace(name("author"), r"\s+", " "), " and "), lambda x: F.trim(x) != "")
@@ -243,7 +243,7 @@ def read_ris(spark: SparkSession, path: str, pdfs: DataFrame | None = None) -> D
 
     pdfs has (path): a paper's file is looked for as id, author_year, then its DOI.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.posexplode(F.split("value", r"(?m)^ER  -.*$")).alias("n", "entry")).where(F.col("entry").rlike(r"(?m)^TY  -"))
     every = lambda *tags: F.regexp_extract_all("entry", F.lit(rf"(?m)^(?:{'|'.join(tags)})  - *(.*?)\s*$"), F.lit(1))
     one = lambda *tags: F.coalesce(F.get(every(*tags), F.lit(0)), F.lit(""))
@@ -267,5 +267,5 @@ def read_yaml(spark: SparkSession, path: str, key: str, schema: str) -> DataFram
     """A list of maps under a key of a small YAML file."""
     import yaml
 
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return spark.createDataFrame(yaml.safe_load(text)[key], schema)

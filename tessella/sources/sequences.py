@@ -36,7 +36,7 @@ def fasta_text(header: Column, seq: Column) -> Column:
 
 def read_partition_info(spark: SparkSession, path: str) -> DataFrame:
     """(locus, start, end) behind two header lines; lines of fewer than three fields are left out."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("n >= 2")
     parts = F.split("line", "\t")
     return lines.where(F.size(parts) >= 3).select(F.trim(parts[0]).alias("locus"), F.trim(parts[1]).cast("int").alias("start"), F.trim(parts[2]).cast("int").alias("end"))

@@ -188,5 +188,5 @@ def enriched_nested(df: DataFrame, array: str, field: str, output: str, known: D
     """Records in an array of structs with a looked-up value each; known has (key, value)."""
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     out = rows.select("_row", F.posexplode_outer(array).alias("_i", "_r")).join(known, F.col(f"_r.{field}") == F.col("key"), "left")
-    made = out.groupBy("_row").agg(F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", F.struct("_r.*", F.col("value").alias(output)).alias("r"))))).alias("_a"))
+    made = out.groupBy("_row").agg(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", F.struct("_r.*", F.col("value").alias(output)).alias("r"))))).alias("_a"))
     return rows.join(made, "_row").withColumn(array, F.transform("_a", lambda x: x["r"])).drop("_row", "_a")

@@ -115,7 +115,7 @@ def stitched(df: DataFrame, doc: str, page: str, text: str, head: Column | None
     w = Window.partitionBy(doc).orderBy(page)
     rows = df.withColumn("_n", F.row_number().over(w))
     block = F.concat(F.lit("<!-- page "), F.col("_n").cast("string"), F.lit(" -->\n\n"), F.trim(or_blank(F.col(text))))
-    parts = F.array_sort(F.collect_list(F.struct("_n", block.alias("b"))))
+    parts = F.sort_array(F.collect_list(F.struct("_n", block.alias("b"))))
     made = rows.groupBy(doc).agg(parts.alias("_parts"), F.count("*").alias("pages"))
     body = F.array_join(F.transform("_parts", lambda x: x["b"]), "\n\n---\n\n")
     front = F.concat(F.lit("---\nsource: "), F.col(doc).cast("string"), F.lit("\npages: "), F.col("pages").cast("string"), F.lit("\n---\n\n"))

@@ -269,7 +269,7 @@ def supermatrix(df: DataFrame, locus: str, taxon: str, seq: str, gap: str = "-")
     spans = lengths.select(locus, "length", F.sum("length").over(w).alias("end")).withColumn("start", F.col("end") - F.col("length") + 1)
     grid = df.select(taxon).distinct().crossJoin(F.broadcast(spans)).join(df.select(locus, taxon, seq), [locus, taxon], "left")
     part = F.rpad(F.coalesce(seq, F.lit("")), F.col("length"), F.lit(gap))
-    made = grid.groupBy(taxon).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", part.alias("p")))), lambda x: x["p"]), "").alias("sequence"))
+    made = grid.groupBy(taxon).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", part.alias("p")))), lambda x: x["p"]), "").alias("sequence"))
     return made, spans.select(locus, "start", "end")
 
 

@@ -364,7 +364,7 @@ def compare_lists(s, d):
   n AS (SELECT conv_id, count(*) FILTER (role = 'user') AS nu, count(*) FILTER (role = 'assistant') AS na FROM t GROUP BY conv_id)
   SELECT n.conv_id, (SELECT count(*) FROM u JOIN a ON u.conv_id = a.conv_id AND u.k = a.k AND u.x = a.x WHERE u.conv_id = n.conv_id)::INT AS tp, greatest(0, nu - na)::INT AS fp, greatest(0, na - nu)::INT AS fn FROM n""")
 def ordered_compare(s, d):
-    side = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))), lambda x: x["text"])
+    side = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))), lambda x: x["text"])
     both = T(s, d, "conversations").groupBy("conv_id").agg(side("user").alias("u"), side("assistant").alias("a"))
     return both.select("conv_id", scoring.ordered_counts(F.col("u"), F.col("a")).alias("c")).select("conv_id", "c.*")
 

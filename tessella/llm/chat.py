@@ -88,7 +88,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("formatted", "position").alias("longest"),
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("position", read_masked(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("t")))),
+                F.sort_array(F.collect_list(F.struct("position", read_masked(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("t")))),
                 lambda x: x["t"],
             ),
             "",

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.byte_bpe import op9
 from tessella.llm.chat import OP7_SQL, op7
-from tessella.llm.jaccard import op5
+from tessella.llm.jaccard import OP5_SQL, op5
 from tessella.llm.piece_counts import op10
 from tessella.llm.quality import op2
 from tessella.llm.secrets import OP1_SQL, op1
-from tessella.llm.suffix_dedup import op3
+from tessella.llm.suffix_dedup import OP3_SQL, op3
 from tessella.llm.tiling import op6
 from tessella.llm.url_rules import OP8_SQL, op8
 from tessella.llm.warc import OP4_SQL, op4
@@ -36,7 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_ledger": OP1_SQL,
+        "op3_suffix_dedup": OP3_SQL,
         "op4_warc": OP4_SQL,
+        "op5_jaccard": OP5_SQL,
         "op7_chat_format": OP7_SQL,
         "op8_url_rules": OP8_SQL,
     }

@@ -458,3 +458,21 @@ def drop_repeats(docs: DataFrame, texts_too: bool = True, shared_by: int = SHARE
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every whole document that repeat a document with a smaller id."""
     return drop_repeats(table(spark, sf_dir, "documents"), texts_too=False)
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+v AS (SELECT doc_id, unnest(list_transform(range(0, greatest(0, length(h) // 2 - 49)), lambda i: {'i': i, 's': md5(substr(h, 2 * i + 1, 100))})) AS z FROM d),
+w AS (SELECT doc_id, z.i AS i, z.s AS s FROM v),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE f.least < w.doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+x AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM x GROUP BY ALL),
+q AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM p),
+t AS (SELECT q.doc_id, string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY k) AS head, max(b) AS tail, count(*) AS n_spans, sum(b - a) AS n_removed
+      FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""

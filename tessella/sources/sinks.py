@@ -70,7 +70,7 @@ def upload_batch(df: DataFrame, order: list[str]) -> DataFrame:
 def batch_metadata(batches: DataFrame, depth: str = "depth", ref: str = "parent_ref") -> DataFrame:
     """One JSON text: rows and pending references of each batch."""
     rows = batches.groupBy(depth).agg(F.count("*").alias("rows"), F.count_if(F.startswith(F.coalesce(ref, F.lit("")), F.lit("__PENDING_"))).alias("pending"))
-    return rows.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(depth, "rows", "pending"))).alias("batches"), F.sum("pending").alias("pending"))).alias("metadata"))
+    return rows.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(depth, "rows", "pending"))).alias("batches"), F.sum("pending").alias("pending"))).alias("metadata"))
 
 
 def annotation_template(df: DataFrame, key: str, data: str) -> DataFrame:
@@ -86,7 +86,7 @@ def mapping_template(files: DataFrame, name: str = "name") -> DataFrame:
 
 def profile_lists(scores: DataFrame, by: list[str], pos: str, score: str) -> DataFrame:
     """Positions (from 1) whose score is below 0, as one line for each locus."""
-    low = scores.where(F.col(score) < 0).groupBy(*by).agg(F.array_sort(F.collect_list(F.col(pos) + 1)).alias("_p"))
+    low = scores.where(F.col(score) < 0).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(pos) + 1)).alias("_p"))
     return low.select(*by, F.array_join("_p", " ").alias("positions"))
 
 

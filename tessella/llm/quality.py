@@ -68,7 +68,7 @@ def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated(F.col("_words")),
+            "n_repeat_words": let(F.col("_words"), repeated),
         }
     ).drop("_words")
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -19,7 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     def stars(d: DataFrame, larger: bool) -> DataFrame:
         # d: (a, b) with a > b. For larger neighbours look from both ends, for smaller ones from a only.
         both = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else d
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written first, so that both sides of the join are plain exchanges and a star's many links can be split between tasks.
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         met = both.join(least, "a")
         if larger:
             out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -44,7 +44,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18  # bytes of text hashed at once
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -308,7 +308,7 @@ def meeting(rows: DataFrame) -> DataFrame:
 def of_several(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose shingle more than one group has."""
     several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    return stored(rows.join(several, "shingle", "left_semi"), name)
+    return stored(rows.join(stored(several, f"{name}-shared"), "shingle", "left_semi"), name)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     sizes = stored(blocks.rows.mapInArrow(profile, "doc_id long, block int, n long, keys array<long>"), "profiles")
     keyed = sizes.where(F.col("doc_id") != NULL_ID).select(F.explode("keys").alias("key"), "doc_id", "block", "n")
     heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "block", "n")).alias("head"), F.count("*").alias("times")).where("times > 1")
-    near = keyed.join(heads, "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits("n", "head.n"))
+    near = keyed.join(stored(heads, "heads"), "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits("n", "head.n"))
     near = near.select("doc_id", "block", F.col("head.doc_id").alias("other"), F.col("head.block").alias("other_block")).distinct()
     groups = components(stored(verified(blocks, near), "near"))
 
@@ -328,14 +328,15 @@ def join_documents(docs: DataFrame) -> DataFrame:
     asked = blocks.each(ask(blocks.owners), "owner int, block int, keys binary, counts binary")
     told = asked.groupBy("owner").applyInArrow(tell_frequency, REPLY)
     rare = blocks.answer(told.unionByName(labels), rare_first(blocks.owners), "shingle long, doc_id long, block int, n long, label long, place long")
-    rare = of_several(rare.repartition(blocks.width, "shingle"), "rare")
+    # Tables between the steps: sides of a join that are read from them can be split where a group of copies makes a shingle frequent.
+    rare = of_several(stored(rare, "prefixes"), "rare")
 
     one = rare.groupBy("shingle", "label").agg(F.min_by(F.struct("doc_id", "block", "n", "place"), F.xxhash64("shingle", "doc_id")).alias("h"))
     linked = stored(verified(blocks, meeting(one.select("shingle", "label", "h.*"))), "met")
     stars = lambda g: g.select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = components(stars(groups).unionByName(linked))
     rare = rare.drop("label").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
-    rare = of_several(rare.withColumn("label", F.coalesce("label", "doc_id")).repartition(blocks.width, "shingle"), "rest")
+    rare = of_several(stored(rare.withColumn("label", F.coalesce("label", "doc_id")), "labelled"), "rest")
     groups = components(stars(groups).unionByName(verified(blocks, meeting(rare))))
 
     out = sizes.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -346,3 +347,16 @@ def join_documents(docs: DataFrame) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return join_documents(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) AS x FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(a, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+"""

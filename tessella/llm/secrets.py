@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.runtime import pack, table, unpack, work_folder
+from tessella.llm.runtime import pack, stored, table, unpack, work_folder
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
 
 def scan(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All findings in a text, by start, then rule."""
-    return F.array_sort(F.concat(*(matches(text, r, i) for i, r in enumerate(rules))))
+    return F.sort_array(F.concat(*(matches(text, r, i) for i, r in enumerate(rules))))
 
 
 def ledger_of(spark: SparkSession, ledger: str) -> DataFrame | None:
@@ -94,12 +94,17 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     made.write.mode("append").parquet(ledger)
 
 
+def hits_of(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    """(blob, found) of each blob with findings, as a table: a blob with very many paths can then be split in the join."""
+    hits = ledger_of(spark, ledger).where((F.col("version") == version) & (F.size("found") > 0))
+    return stored(hits.groupBy("blob").agg(F.first("found").alias("found")), "hits")
+
+
 def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text: str = "text") -> DataFrame:
     """versions without its text, with blob and found (empty: nothing found), through the ledger."""
     versions = versions.drop("blob", "found")
     update_ledger(versions, ledger, rules, version, text)
-    hits = ledger_of(versions.sparkSession, ledger).where((F.col("version") == version) & (F.size("found") > 0))
-    hits = hits.groupBy("blob").agg(F.first("found").alias("found"))
+    hits = hits_of(versions.sparkSession, ledger, version)
     paths = addressed(versions, text).drop(text)
     return paths.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
 
@@ -121,8 +126,7 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
     """docs with every finding in text replaced, through the ledger; an n_chars column follows the new text."""
     update_ledger(docs, ledger, rules, version)
-    hits = ledger_of(docs.sparkSession, ledger).where((F.col("version") == version) & (F.size("found") > 0))
-    hits = hits.groupBy("blob").agg(F.first("found").alias("found"))
+    hits = hits_of(docs.sparkSession, ledger, version)
     rows = addressed(pack(docs), "text").join(hits, "blob", "left")
     out = unpack(rows.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found")))), docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

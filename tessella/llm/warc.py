@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.ranges import bounds, place
-from tessella.llm.runtime import ship, shuffle_width, work_folder
+from tessella.llm.runtime import ship, shuffle_width, stored, work_folder
 
 ROLL_BYTES = 4 << 20
 LEAST_BYTES = 1000
@@ -101,6 +101,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     pages = pages.select(F.col("page_id").cast("long"), "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
     large = pages.where(F.octet_length("html") >= least_bytes).select("page_id", "digest")
     answer = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    answer = stored(answer, "answers")  # a table, so that a payload with very many pages can be split in the join
     visits = large.join(answer, "digest").where("page_id IS NULL OR page_id < refers_to").where("refers_to IS NOT NULL").distinct()
     at = bounds(pages.select("page_id"), "page_id", parts)
     rows = pages.withColumn("kind", F.lit(1)).unionByName(visits.withColumn("kind", F.lit(0)), allowMissingColumns=True)

@@ -5,7 +5,7 @@ neighbouring tokens must be what BPE itself makes of their joint bytes. A state
 (last emitted token, bytes read since). Reading a byte extends the pending bytes; as soon as
 every way in which the vocabulary could go on shares its first tokens, these are emitted. The
 lookahead is bounded by the longest token. States and transitions are built when first met and
-kept; the store is emptied when it exceeds STATES_KEPT, which changes time only, not results.
+kept; the store is emptied when it exceeds KEPT, which changes time and memory only, not results.
 
 Edge cases: a null text counts as empty and has no ids; extra columns pass through untouched.
 """
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from tessella.llm.runtime import ship
 
-STATES_KEPT = 250_000
-PIECES_KEPT = 180_000  # of each of two generations
+#: How many transitions, token pairs and pieces (in each of two generations) a worker keeps.
+KEPT = 300_000
 VOCABULARY_BYTES = 64 << 20  # a broadcast vocabulary may not be larger than this
 
 
@@ -45,8 +45,8 @@ class MergeTransducer:
     that forbids none of the tokens to come is forgotten (-3), so few states suffice.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], kept: int = KEPT):
+        self.ranks, self.kept = ranks, kept
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
         self.sorted = sorted(ranks)
@@ -83,7 +83,7 @@ class MergeTransducer:
             return a == -3 or self.half(b) is not None or len(self.bytes_of[b]) == 1
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > STATES_KEPT:
+            if len(self.pairs) > self.kept:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.seam(a, b)
         return known
@@ -163,7 +163,7 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:  # a piece that is a token stays whole
             return [self.ranks[piece]]
-        if len(self.steps) > STATES_KEPT:
+        if len(self.steps) > self.kept:
             self.clear()
         out: list[int] = []
         state, steps = 0, self.steps
@@ -211,10 +211,11 @@ def packed(ids: list[int]) -> bytes:
 class Codec:
     """Texts to packed ids (little-endian, 32 bits) and back."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, kept: int = KEPT):
         ranks = parse_ranks(data)
+        self.kept = kept
         self.split = regex.compile(pattern).findall
-        self.machine = MergeTransducer(ranks)
+        self.machine = MergeTransducer(ranks, kept)
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -230,7 +231,7 @@ class Codec:
                 if ids is None:
                     ids = packed(self.machine.encode(piece.encode()))
                 if len(piece) <= 64:
-                    if len(known) > PIECES_KEPT:
+                    if len(known) > self.kept:
                         self.older = known
                         known = self.pieces = {}
                     known[piece] = ids
@@ -244,15 +245,15 @@ class Codec:
         yield stream.finish()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(data: bytes, pattern: str) -> Codec:
+def codec(data: bytes, pattern: str, kept: int = KEPT) -> Codec:
     """One codec for each vocabulary and worker; its states stay warm between batches."""
-    key = hashlib.sha256(data).hexdigest(), pattern
+    key = hashlib.sha256(data).hexdigest(), pattern, kept
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(data, pattern)
+        _codecs[key] = Codec(data, pattern, kept)
     return _codecs[key]
 
 
@@ -264,8 +265,11 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
-def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
-    """df with the token ids of a text column (binary, 32 bits little-endian each) and their number."""
+def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", kept: int = KEPT) -> DataFrame:
+    """df with the token ids of a text column (binary, 32 bits little-endian each) and their number.
+
+    kept: as KEPT; a worker that also serves other steps does with less memory at more time.
+    """
     spark = df.sparkSession
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
@@ -274,7 +278,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.byte_bpe import codec
 
-        c = codec(vocabulary.value, pattern)
+        c = codec(vocabulary.value, pattern, kept)
         for b in batches:
             packed = [c.encode(t or "") for t in b.column(text).to_pylist()]
             cols = [*b.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]

@@ -54,9 +54,8 @@ def test_odd_texts(codec, library, model, pieces):
     assert piece_counts.count_batch(model, {}, ODD) == [len(pieces.encode(t)) for t in ODD]
 
 
-def test_states_may_be_dropped(codec, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "STATES_KEPT", 5)
-    monkeypatch.setattr(byte_bpe, "PIECES_KEPT", 2)
+def test_states_may_be_dropped(library):
+    codec = byte_bpe.Codec(byte_bpe.read_vocabulary(RANKS), public_tokenizers.PATTERN, kept=2)
     text = "several different words that do not fit the store of states"
     assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 

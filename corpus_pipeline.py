@@ -38,7 +38,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    made = byte_bpe.encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # The workers of the stages before keep their memory, so fewer states are kept here.
+    made = byte_bpe.encode_texts(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, kept=60_000)
     return made.select("doc_id", "n_tokens", "ids")
 
 

@@ -44,11 +44,11 @@ def repeated(words: Column) -> Column:
         return F.when(count > 0, F.transform(F.slice(w, 1, count), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
     def marked(h: Column) -> Column:
-        order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def twins(s: Column) -> Column:
             same = lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
-            return F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
 
         # Each window adds the words that the one before it has not covered: three at most.
         covered = lambda d: F.aggregate(F.transform(d, lambda x, i: F.least(F.lit(3), F.coalesce(x - F.get(d, i - 1), F.lit(3)))), F.lit(0), lambda a, x: a + x)
@@ -65,7 +65,7 @@ def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
             "n_repeat_words": let(F.col("_words"), repeated),

@@ -34,6 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         d = stored(stars(stars(d, True), False), "links")
         now = tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            return d.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(d.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            nodes = d.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(d.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return stored(nodes, "components")
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

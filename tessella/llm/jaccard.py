@@ -196,7 +196,7 @@ def rare_first(owners: int):
         rows = list(zip(*(right.column(c).to_pylist() for c in ("kind", "owner", "other", "data")), strict=True))
         codes = np.frombuffer(b"".join(d for _, d in sorted((o, d) for k, o, _, d in rows if k == 0)), dtype=np.uint8)
         label = {o: x for k, o, x, _ in rows if k == 1}
-        h, who = flat(sets)
+        h, _ = flat(sets)
         distinct, index = np.unique(combined(h, owners), return_inverse=True)
         if len(codes) != len(distinct):
             raise ValueError(f"{len(codes)} replies for {len(distinct)} shingles")

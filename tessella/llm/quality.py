@@ -9,7 +9,7 @@ raw ones by PRIOR pseudo-counts, so buckets without evidence say nothing.
 
 TRUSTED_ROWS bounds the trusted sample (lowest hashes of doc_id among quality 1); everything else
 covers all rows. Edge cases: a null text has no words and fails; with no trusted documents all
-scores are 0 and only the base rules decide; repeated rows are judged each.
+scores are 0 and only the base rules decide; repeated rows are judged each; columns named like the results are replaced.
 """
 
 from __future__ import annotations

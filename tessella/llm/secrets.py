@@ -8,7 +8,7 @@ the ledger back to all paths.
 Spans are in code points, ends exclusive: positions follow from the lengths of the text's pieces
 between the matches. Edge cases: a null text is the empty blob; repeated rows are each reported; a
 run that stopped before its append leaves the ledger as it was, and pairs that two runs have both
-appended count once.
+appended count once; columns named blob or found are replaced.
 """
 
 from __future__ import annotations

@@ -178,11 +178,19 @@ def pair_scores(a: str, b: str, kind: str = "nt", matrix: dict[str, float] | Non
     return out
 
 
+def score_table(letters: str, kind: str = "nt", matrix: dict[str, float] | None = None) -> np.ndarray:
+    """pair_scores of each letter (row) with each other one (column)."""
+    n = len(letters)
+    return pair_scores("".join(x * n for x in letters), letters * n, kind, matrix).reshape(n, n)
+
+
 def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 100, share: float = 0.95, seed: int = 42, kind: str = "nt", legacy: bool = False, matrix: dict[str, float] | None = None) -> DataFrame:
     """Site scores of each pair of sequences: a window is +1 if its sum exceeds what the share of resamples of its region reaches.
 
-    df has (locus, a, b, seq_a, seq_b). Each pair draws from a generator seeded by (seed, locus, a,
-    b), so partitioning changes nothing. legacy: a resample is one drawn column instead of w.
+    A resample is w pairs of residues; each residue is drawn by itself, from either sequence and any
+    position of the 2w around the window, which stay inside the sequences (all of them where these
+    are shorter). df has (locus, a, b, seq_a, seq_b). Each pair draws from a generator seeded by
+    (seed, locus, a, b), so partitioning changes nothing. legacy: a resample is one pair of residues.
     """
 
     def run(batches):
@@ -190,18 +198,24 @@ def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 10
 
         for rows in batches:
             out = []
+            letters = "".join(sorted(set("".join(rows["seq_a"]).upper() + "".join(rows["seq_b"]).upper())))
+            table, code = score_table(letters, kind, matrix), {x: i for i, x in enumerate(letters)}
             for key, a, b, sa, sb in zip(rows[locus], rows["a"], rows["b"], rows["seq_a"], rows["seq_b"], strict=True):
-                s = pair_scores(sa, sb, kind, matrix)
+                n = min(len(sa), len(sb))
+                both = np.array([[code[x] for x in s.upper()[:n]] for s in (sa, sb)], dtype=np.int64)
+                s = table[both[0], both[1]]
                 draw = np.random.default_rng(zlib.crc32(f"{seed}:{key}:{a}:{b}".encode()))
-                site = np.zeros(len(s), dtype=np.int64)
-                for i in range(len(s) - w + 1):
-                    total = s[i : i + w].sum()
+                site = np.zeros(n, dtype=np.int64)
+                for i in range(n - w + 1):
+                    total = np.round(s[i : i + w].sum(), 9)
                     if total >= w or total <= -w:
                         passed = total >= w
                     else:
-                        region = s[max(0, i - w // 2) : i + w + w // 2]
-                        sums = np.sort(draw.choice(region, (draws, 1 if legacy else w)).sum(axis=1))
-                        passed = total > sums[int(np.ceil(share * draws)) - 1] or total > 0 and sums[-1] <= total
+                        start = max(0, min(i - w // 2, n - 2 * w))
+                        pool = both[:, start : start + 2 * w].ravel()
+                        drawn = pool[draw.integers(0, len(pool), (draws, 1 if legacy else w, 2))]
+                        sums = np.sort(np.round(table[drawn[..., 0], drawn[..., 1]].sum(axis=1), 9))
+                        passed = total > sums[int(np.ceil(share * draws)) - 1]
                     site[i : i + w] += 1 if passed else -1
                 out.append(site.tolist())
             yield rows.assign(scores=out)[[locus, "a", "b", "scores"]]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # The nucleotides each ambiguity letter stands for.
 AMBIGUITY = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 PURINES, PYRIMIDINES = "AG", "CT"
+AMINO_ACIDS = "ARNDCQEGHILKMFPSTWYV"
 WINDOW = 6
 
 
@@ -184,14 +185,20 @@ def score_table(letters: str, kind: str = "nt", matrix: dict[str, float] | None
     return pair_scores("".join(x * n for x in letters), letters * n, kind, matrix).reshape(n, n)
 
 
-def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 100, share: float = 0.95, seed: int = 42, kind: str = "nt", legacy: bool = False, matrix: dict[str, float] | None = None) -> DataFrame:
+def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 100, share: float = 0.95, seed: int = 42, kind: str = "nt", legacy: bool = False, matrix: dict[str, float] | None = None, thresholds: DataFrame | None = None) -> DataFrame:
     """Site scores of each pair of sequences: a window is +1 if its sum exceeds what the share of resamples of its region reaches.
 
     A resample is w pairs of residues; each residue is drawn by itself, from either sequence and any
     position of the 2w around the window, which stay inside the sequences (all of them where these
     are shorter). df has (locus, a, b, seq_a, seq_b). Each pair draws from a generator seeded by
     (seed, locus, a, b), so partitioning changes nothing. legacy: a resample is one pair of residues.
+    kind aa: nothing is drawn for a window; its sum must exceed the one threshold of its locus.
+    thresholds has (locus, threshold) as residue_threshold gives them, from all sequences of the
+    locus; where it is left out, they come from the sequences that are in some pair.
     """
+    if kind == "aa" and thresholds is None:
+        ends = [df.select(locus, F.col(x).alias("taxon"), F.col(f"seq_{x}").alias("seq")) for x in "ab"]
+        thresholds = residue_threshold(ends[0].union(ends[1]).distinct(), locus, "seq", w, share=share, seed=seed, matrix=matrix)
 
     def run(batches):
         import zlib
@@ -200,7 +207,7 @@ def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 10
             out = []
             letters = "".join(sorted(set("".join(rows["seq_a"]).upper() + "".join(rows["seq_b"]).upper())))
             table, code = score_table(letters, kind, matrix), {x: i for i, x in enumerate(letters)}
-            for key, a, b, sa, sb in zip(rows[locus], rows["a"], rows["b"], rows["seq_a"], rows["seq_b"], strict=True):
+            for key, a, b, sa, sb, limit in zip(rows[locus], rows["a"], rows["b"], rows["seq_a"], rows["seq_b"], rows["threshold"], strict=True):
                 n = min(len(sa), len(sb))
                 both = np.array([[code[x] for x in s.upper()[:n]] for s in (sa, sb)], dtype=np.int64)
                 s = table[both[0], both[1]]
@@ -208,7 +215,9 @@ def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 10
                 site = np.zeros(n, dtype=np.int64)
                 for i in range(n - w + 1):
                     total = np.round(s[i : i + w].sum(), 9)
-                    if total >= w or total <= -w:
+                    if kind == "aa":
+                        passed = total > limit  # never where the locus has no residue
+                    elif total >= w or total <= -w:
                         passed = total >= w
                     else:
                         start = max(0, min(i - w // 2, n - 2 * w))
@@ -221,23 +230,43 @@ def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 10
             yield rows.assign(scores=out)[[locus, "a", "b", "scores"]]
 
     kind_of = lambda c: df.schema[c].dataType.simpleString()
-    return df.select(locus, "a", "b", "seq_a", "seq_b").mapInPandas(run, f"{locus} {kind_of(locus)}, a {kind_of('a')}, b {kind_of('b')}, scores array<bigint>")
-
-
-def residue_threshold(df: DataFrame, locus: str, seqs: str, w: int = WINDOW, draws: int = 100, rounds: int = 100, share: float = 0.95, seed: int = 42) -> DataFrame:
-    """For each locus the window sum that the share of random residue pairs, drawn by their frequencies, stays under."""
+    rows = df.select(locus, "a", "b", "seq_a", "seq_b")
+    if kind == "aa":
+        limits = thresholds.select(F.col(locus).alias("_locus"), "threshold")
+        rows = rows.join(limits, F.col(locus).eqNullSafe(F.col("_locus")), "left").drop("_locus")
+        rows = rows.withColumn("threshold", F.coalesce("threshold", F.lit(float("nan"))))
+    else:
+        rows = rows.withColumn("threshold", F.lit(0.0))
+    return rows.mapInPandas(run, f"{locus} {kind_of(locus)}, a {kind_of('a')}, b {kind_of('b')}, scores array<bigint>")
+
+
+def residue_threshold(df: DataFrame, locus: str, seqs: str, w: int = WINDOW, draws: int = 100, rounds: int = 100, share: float = 0.95, seed: int = 42, matrix: dict[str, float] | None = None, halves: int = 100) -> DataFrame:
+    """For each locus the window sum that the share of random pairs of amino acids, drawn by their frequencies, stays under.
+
+    The pool holds ten of a residue for each whole percent. Each of the rounds draws a pool of the
+    same size from it, each of the halves of a round draws half as many residues from that one, and
+    each of the draws of a half adds the scores of w pairs from there: rounds * halves * draws sums.
+    df has each sequence of a locus once. matrix: as for pair_scores. No amino acid: no threshold.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         import zlib
 
         key = rows[locus].iloc[0]
-        residues = np.array([c for s in rows[seqs] for c in s.upper() if c not in "-X?"])
-        draw = np.random.default_rng(zlib.crc32(f"{seed}:{key}".encode()))
-        sums = []
-        for _ in range(rounds if len(residues) else 0):
-            p, q = draw.choice(residues, (2, draws, w))
-            sums.append(np.where(p == q, 1, -1).sum(axis=1))
-        value = float(np.sort(np.concatenate(sums))[int(np.ceil(share * draws * rounds)) - 1]) if sums else None
+        joined = "".join(s.upper() for s in rows[seqs] if s is not None)
+        counts = np.array([joined.count(c) for c in AMINO_ACIDS])
+        value = None
+        if counts.sum():
+            table = score_table(AMINO_ACIDS, "aa", matrix)
+            pool = np.repeat(np.arange(len(AMINO_ACIDS)), 100 * counts // counts.sum() * 10)
+            draw, n, sums = np.random.default_rng(zlib.crc32(f"{seed}:{key}".encode())), len(pool), []
+            for _ in range(rounds):
+                boot = pool[draw.integers(0, n, n)]
+                half = boot[draw.integers(0, n, (halves, n // 2))]
+                drawn = half[np.arange(halves)[:, None, None, None], draw.integers(0, n // 2, (halves, draws, w, 2))]
+                sums.append(np.round(table[drawn[..., 0], drawn[..., 1]].sum(axis=2), 9).ravel())
+            at = int(np.ceil(share * rounds * halves * draws)) - 1
+            value = float(np.partition(np.concatenate(sums), at)[at])
         return pd.DataFrame({locus: [key], "threshold": [value]})
 
     return df.groupBy(locus).applyInPandas(one, f"{locus} {df.schema[locus].dataType.simpleString()}, threshold double")

@@ -579,7 +579,10 @@ def mc_cutoff(s, d):
 
 @query()
 def mc_pair_score(s, d):
-    made = sequences.resampled_scores(supplier_pairs(s, d), "s_nationkey", kind="aa")
+    # The sixteen digits stand for as many amino acids.
+    seqs = T(s, d, "supplier").select("s_nationkey", "s_suppkey", F.translate(F.md5("s_name"), "0123456789b", "GHIKLMNPQRS").alias("seq"))
+    limits = sequences.residue_threshold(seqs, "s_nationkey", "seq")
+    made = sequences.resampled_scores(sequences.pairs(seqs, ["s_nationkey"], "s_suppkey", "seq"), "s_nationkey", kind="aa", thresholds=limits)
     return made.select("s_nationkey", "a", "b", joined("scores").alias("scores"))
 
 

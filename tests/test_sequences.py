@@ -1,5 +1,6 @@
 """Monte-Carlo scores of sequences against slow direct versions with the same seeds."""
 
+import inspect
 import random
 import zlib
 
@@ -50,3 +51,54 @@ def test_windows_against_pairs_of_residues(spark, kind, w):
     got = {x.a: x.scores for x in sequences.resampled_scores(spark.createDataFrame(rows, PAIR), "locus", w=w, kind=kind).collect()}
     assert got == {x[1]: slow_scores(*x, kind, w) for x in rows}
     assert (kind, w) != ("nt", 6) or sum(got["p"]) > 0
+
+
+def slow_threshold(key, seqs, w, matrix, rounds, halves, draws, seed=42):
+    draw = np.random.default_rng(zlib.crc32(f"{seed}:{key}".encode()))
+    known = [c for s in seqs for c in s if c in "ARNDCQEGHILKMFPSTWYV"]
+    pool = [c for c in "ARNDCQEGHILKMFPSTWYV" for _ in range(100 * known.count(c) // len(known) * 10)]
+    sums = []
+    for _ in range(rounds):
+        boot = [pool[x] for x in draw.integers(0, len(pool), len(pool))]
+        picks = draw.integers(0, len(pool), (halves, len(pool) // 2))
+        for half, sets in zip(picks, draw.integers(0, len(pool) // 2, (halves, draws, w, 2)), strict=True):
+            sums += [sum(sequences.pair_scores(boot[half[x]], boot[half[y]], "aa", matrix)[0] for x, y in one) for one in sets]
+    return sorted(sums)[int(np.ceil(0.95 * len(sums))) - 1]
+
+
+MATRIX = {x + y: 4.0 if x == y else (1.0 if x + y in ("IL", "IV", "LV", "KR", "DE") else -2.0) for x in "ACDEFGHIKLMNPQRSTVWY" for y in "ACDEFGHIKLMNPQRSTVWY" if x <= y}
+PROTEINS = ["MKVLAMKV-WLLDERKX", "MKILAMRVBWLLEERK*", "AKVIGMKVSWVLDDRKT"]
+
+
+@pytest.mark.parametrize("matrix", [None, MATRIX])
+def test_threshold_of_a_locus(spark, matrix):
+    df = spark.createDataFrame([("L", s) for s in PROTEINS] + [("none", "-X?")], "locus string, seq string")
+    ship(spark)
+    got = {x.locus: x.threshold for x in sequences.residue_threshold(df, "locus", "seq", draws=5, rounds=3, halves=4, matrix=matrix).collect()}
+    assert got == {"L": slow_threshold("L", PROTEINS, 6, matrix, 3, 4, 5), "none": None}
+
+
+def test_a_million_sums():
+    levels = inspect.signature(sequences.residue_threshold).parameters
+    assert levels["rounds"].default * levels["halves"].default * levels["draws"].default == 1_000_000
+
+
+def test_amino_acids_by_one_threshold(spark):
+    rows = [("L", a, b, PROTEINS[a], PROTEINS[b]) for a in range(3) for b in range(a + 1, 3)]
+    pairs = spark.createDataFrame(rows, "locus string, a int, b int, seq_a string, seq_b string")
+    seqs = spark.createDataFrame([("L", i, s) for i, s in enumerate(PROTEINS)], "locus string, taxon int, seq string")
+    ship(spark)
+    limits = sequences.residue_threshold(seqs, "locus", "seq", matrix=MATRIX)
+    limit = limits.first().threshold
+    expected = {}
+    for _, a, b, sa, sb in rows:
+        s = sequences.pair_scores(sa, sb, "aa", MATRIX)
+        expected[a, b] = [0] * len(s)
+        for i in range(len(s) - 5):
+            for k in range(6):
+                expected[a, b][i + k] += 1 if s[i : i + 6].sum() > limit else -1
+    for given in (limits, None):
+        got = sequences.resampled_scores(pairs, "locus", kind="aa", matrix=MATRIX, thresholds=given)
+        assert {(x.a, x.b): x.scores for x in got.collect()} == expected
+    other = limits.selectExpr("locus", "1000D AS threshold")
+    assert all(v < 0 for x in sequences.resampled_scores(pairs, "locus", kind="aa", thresholds=other).collect() for v in x.scores)

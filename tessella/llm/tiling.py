@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +76,19 @@ def tile(text: list[int], item: list[int], least: int) -> tuple[int, int]:
         if longest > 2 * size:
             size = longest
             continue
-        for n, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not any(in_item[p : p + n]) and not any(in_text[t : t + n]):
-                in_item[p : p + n], in_text[t : t + n] = [True] * n, [True] * n
+        waiting = [(-n, p, t) for n, p, t in found]
+        heapify(waiting)
+        while waiting:
+            n, p, t = heappop(waiting)
+            free = 0
+            while free < -n and not in_item[p + free] and not in_text[t + free]:
+                free += 1
+            if free == -n:
+                in_item[p : p + free], in_text[t : t + free] = [True] * free, [True] * free
                 tiles += 1
-                covered += n
+                covered += free
+            elif free >= size:  # a tile took its tail: what is left waits for its turn (without its head, it is in found)
+                heappush(waiting, (-free, p, t))
         if size == least:
             return tiles, covered
         size = max(least, size // 2)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,13 +14,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once per application."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Send the package to the workers, once per application; None: the active session's."""
+    spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella.zip")
+    folder = tempfile.mkdtemp(prefix="tessella-")  # the driver's own: Spark serves the file from here while the application runs
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "tessella.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))

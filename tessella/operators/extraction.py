@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.shipping import ship
 from tessella.functions.text import or_blank
 
 
@@ -76,12 +77,17 @@ def try_json(text: str | None) -> tuple[object, bool]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("data", T.StringType()), T.StructField("repaired", T.BooleanType())]))
-def repaired_json(texts: pd.Series) -> pd.DataFrame:
-    """Canonical JSON of a text that may be slightly broken; null data if it can't be mended."""
+def _repaired(texts: pd.Series) -> pd.DataFrame:
     rows = [try_json(t) for t in texts]
     return pd.DataFrame({"data": [None if v is None else json.dumps(v, sort_keys=True, ensure_ascii=False) for v, _ in rows], "repaired": [r for _, r in rows]})
 
 
+def repaired_json(text: Column) -> Column:
+    """Canonical JSON (data) of a text that may be slightly broken, and whether it was mended; null data if it can't be."""
+    ship()
+    return _repaired(text)
+
+
 def schema_type(spec: dict) -> T.DataType:
     """The Spark type of a JSON schema; a union of types is kept as text."""
     kind = spec.get("type", "string")
@@ -165,6 +171,7 @@ def enriched(df: DataFrame, field: str, output: str, lookup: Lookup, schema: str
     ask = (or_blank(F.trim(F.col(field))) != "") & (F.lower(F.trim(F.col(field))) != "none")
     keys = df.where(ask).select(F.col(field).alias("_key")).distinct()
     names = T.StructType.fromDDL(schema).fieldNames()
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

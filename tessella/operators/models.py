@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.bands import support
+from tessella.functions.shipping import ship
 
 
 def information(lnl: Column, k: Column, n: Column | None = None) -> Column:
@@ -28,11 +29,16 @@ def compared(models: DataFrame, by: list[str], name: str = "model", aic: str = "
 
 
 @F.pandas_udf(T.DoubleType())
-def chi2_tail(x: pd.Series) -> pd.Series:
-    """Upper tail of a chi-square variable with one degree of freedom."""
+def _tail(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erfc(math.sqrt(max(v, 0.0) / 2)))
 
 
+def chi2_tail(x: Column) -> Column:
+    """Upper tail of a chi-square variable with one degree of freedom."""
+    ship()
+    return _tail(x)
+
+
 def ratio_tests(models: DataFrame, by: list[str], name: str = "model", lnl: str = "lnl", suffix: str = "+J", with_p: bool = True) -> DataFrame:
     """Each base model against the one with suffix: statistic 2 * difference, p for one degree of freedom."""
     base = models.where(~F.endswith(F.col(name), F.lit(suffix))).select(*by, F.col(name).alias("base"), F.col(lnl).alias("base_lnl"))

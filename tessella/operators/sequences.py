@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shipping import ship
+
 # The nucleotides each ambiguity letter stands for.
 AMBIGUITY = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 PURINES, PYRIMIDINES = "AG", "CT"
@@ -120,6 +122,7 @@ def trees(distances: DataFrame, by: str) -> DataFrame:
             d[at[a], at[b]] = d[at[b], at[a]] = x
         return pd.DataFrame({by: [rows[by].iloc[0]], "newick": [joined_tree(names, d)]})
 
+    ship(distances.sparkSession)
     return distances.groupBy(by).applyInPandas(grow, f"{by} {distances.schema[by].dataType.simpleString()}, newick string")
 
 
@@ -237,6 +240,7 @@ def resampled_scores(df: DataFrame, locus: str, w: int = WINDOW, draws: int = 10
         rows = rows.withColumn("threshold", F.coalesce("threshold", F.lit(float("nan"))))
     else:
         rows = rows.withColumn("threshold", F.lit(0.0))
+    ship(df.sparkSession)
     return rows.mapInPandas(run, f"{locus} {kind_of(locus)}, a {kind_of('a')}, b {kind_of('b')}, scores array<bigint>")
 
 
@@ -269,6 +273,7 @@ def residue_threshold(df: DataFrame, locus: str, seqs: str, w: int = WINDOW, dra
             value = float(np.partition(np.concatenate(sums), at)[at])
         return pd.DataFrame({locus: [key], "threshold": [value]})
 
+    ship(df.sparkSession)
     return df.groupBy(locus).applyInPandas(one, f"{locus} {df.schema[locus].dataType.simpleString()}, threshold double")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.shipping import ship
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(path, header, seq) of FASTA files; sequences over several lines are joined."""
@@ -89,6 +91,7 @@ def newick_nodes(df: DataFrame, key: str, tree: str) -> DataFrame:
                         at = end
             yield pd.DataFrame(rows, columns=[key, "node", "parent", "depth", "label"]).astype({"node": "Int64", "parent": "Int64", "depth": "Int64"})
 
+    ship(df.sparkSession)
     return df.select(key, tree).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, node long, parent long, depth long, label string")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.shipping import ship
+
 Call = Callable[[dict], dict]
 
 
@@ -41,6 +43,7 @@ def called(df: DataFrame, call: Call, schema: str, tries: int = 3, wait: float =
             yield pd.DataFrame(out, columns=[*b.columns, *names, "status", "error"], dtype=object)
 
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    ship(df.sparkSession)
     return df.mapInPandas(run, f"{own}, {schema}, status string, error string")
 
 

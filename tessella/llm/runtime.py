@@ -2,37 +2,25 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-_own_folder: list[str] = []
+from tessella.functions.shipping import ship
 
+__all__ = ["Tables", "numbered", "pack", "quoted", "shared_folder", "ship", "shuffle_width", "stored", "table", "unpack", "work_folder"]
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
+_own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (in tests) one of our own."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or (in tests, in one process) one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tessella-shared-"))
         at = f"file://{_own_folder[0]}"
@@ -52,6 +40,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Tables:
+    """Tables in the shared folder that an operator writes on its way and drops as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.at: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As stored; drop(name) removes it."""
+        at = work_folder(self.spark, name)
+        df.write.parquet(at)
+        self.at[name] = at
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, *names: str) -> None:
+        for n in names:
+            remove(self.spark, self.at.pop(n))
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it may be given to F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1 and so on (whatever characters their names have), and what names are called there."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), [at[n] for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,7 +86,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def pack(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns as one struct, so that no name of theirs can clash."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    held = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(None).cast("int").alias("nothing"))
+    held = F.struct(*(F.col(quoted(c)) for c in rest)) if rest else F.struct(F.lit(None).cast("int").alias("nothing"))
     return docs.select("doc_id", "text", held.alias("_rest"))
 
 

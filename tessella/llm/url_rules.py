@@ -7,7 +7,7 @@ the intervals that are open, which nest. A URL looks only at the stack.
 
 The longest fitting rule (host and path together) wins; among equally long ones blocking wins,
 then the rule's text. A hot host is split by key and, where one key spans several ranges, by a
-hash of the row. Edge cases: a null URL or one without "://" has an empty host and path, fits no
+hash of the row. Very long URLs are judged whole. Edge cases: a null URL or one without "://" has an empty host and path, fits no
 rule and gets the default; repeated rows are judged each; columns named like the results are
 replaced.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.ranges import bounds, place
-from tessella.llm.runtime import shuffle_width
+from tessella.llm.runtime import quoted, ship, shuffle_width
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -92,9 +92,13 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule and verdict; rules has host, path and verdict ("block" or "allow")."""
+    ship(df.sparkSession)
     parts = max(1, shuffle_width(df.sparkSession))
-    df = df.drop(*(c for c in ("host", "path", "rule", "verdict") if c != url))
-    rows = df.select(F.struct(*df.columns, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).alias("_row"))
+    names = [c for c in df.columns if c == url or c not in ("host", "path", "rule", "verdict")]
+    # Columns travel under numbers, so that no name of theirs can clash.
+    own = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)]
+    at_url = F.col(quoted(url))
+    rows = df.select(F.struct(*own, host_of(at_url).alias("host"), path_of(at_url).alias("path")).alias("_row"))
     rows = rows.select(reversed_host(F.col("_row.host")).alias("_key"), F.lit(1).alias("_kind"), F.col("_row.path").alias("_path"), "_row")
     at = bounds(rows.select("_key", F.xxhash64("_row").alias("_salt")), "_key", parts)
     low, high = place(F.col("_key"), at, inclusive=False), place(F.col("_key"), at)
@@ -115,7 +119,8 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     both = both.repartitionById(parts, "_part").sortWithinPartitions("_part", "_key", "_kind")
     schema = T.StructType([both.schema["_row"], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     made = both.mapInArrow(sweep, schema)
-    return made.select("_row.*", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    back = [F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]
+    return made.select(*back, "_row.host", "_row.path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

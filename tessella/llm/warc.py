@@ -2,20 +2,24 @@
 
 Rows are dealt by ranges of page_id with bounds that depend on the rows alone, sorted within a
 range, and written as gzip members, one a record. A file is closed when its compressed size
-reaches roll_bytes. Headers, record ids and digests are made anew from the payload. Spark's
-writer puts files under temporary names; the driver then renames them, and renames a manifest
-with each file's size and digest last: a folder without manifest.json isn't an archive.
+reaches roll_bytes. Headers, record ids and digests are made anew from the payload. Each run
+writes into a folder of its own under temporary names that Spark's committer puts in place; a
+file's name, number of records and digest come from the task that wrote it and are the folders
+above it. The manifest lists them; renaming it is the commit, and only the run that it names is
+read. What a stopped run has left is removed by the next one.
 
 Of records with equal payloads of at least least_bytes, that with the largest page_id is a
 response and the others are revisits that refer to it. Edge cases: a null html is an empty
-payload; rows that repeat the largest page_id and payload are all responses; a null page_id sorts
-first and is never referred to by a page with an id; a null url has no target header.
+payload; rows that repeat the largest page_id and payload are all responses; rows with a null
+page_id are spread over the shards, sort first there and are never referred to by a page with an
+id; many rows of one page_id are split by their payloads' digests; a null url has no target header;
+a payload above roll_bytes is a file of its own, whole; columns other than page_id, url and html
+are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.ranges import bounds, place
-from tessella.llm.runtime import ship, shuffle_width, stored, work_folder
+from tessella.llm.runtime import Tables, ship, shuffle_width, work_folder
 
 ROLL_BYTES = 4 << 20
+PART_BYTES = 16 << 20  # of payload in a shard
 LEAST_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,12 +65,21 @@ def packed(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
+def members(data: bytes, at_once: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of a file; zero bytes between or behind them are padding."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data.lstrip(b"\0")
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if view[at] == 0:
+            at += 1
+            continue
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a file ends within a member")
+            part = view[at : at + at_once]
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> dict:
@@ -92,20 +106,31 @@ def parse(data: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, level: int = 4, date: str = DATE) -> str:
+def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least_bytes: int = LEAST_BYTES, level: int = 4, date: str = DATE, part_bytes: int = PART_BYTES) -> str:
     """Write page_id, url and html of pages into folder; returns the folder."""
     spark = pages.sparkSession
     ship(spark)
-    parts = shuffle_width(spark)
+    fs, path = file_system(spark, folder)
+    if fs.exists(path(f"{folder}/manifest")):
+        raise FileExistsError(f"{folder} has a manifest already")
+    for left in fs.globStatus(path(f"{folder}/*-run-*")) or []:
+        fs.delete(left.getPath(), True)
+    run_id = f"run-{uuid.uuid4().hex}"
     body = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
+    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(shuffle_width(spark), -(-total // part_bytes))
     large = pages.where(F.octet_length("html") >= least_bytes).select("page_id", "digest")
     answer = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    answer = stored(answer, "answers")  # a table, so that a payload with very many pages can be split in the join
+    tables = Tables(spark)
+    answer = tables.keep(answer, "answers")  # a table, so that a payload with very many pages can be split in the join
     visits = large.join(answer, "digest").where("page_id IS NULL OR page_id < refers_to").where("refers_to IS NOT NULL").distinct()
     at = bounds(pages.select("page_id"), "page_id", parts)
     rows = pages.withColumn("kind", F.lit(1)).unionByName(visits.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("part", place(F.col("page_id"), at)).repartitionById(parts, F.col("part"))
+    low, high = place(F.col("page_id"), at, inclusive=False), place(F.col("page_id"), at)
+    spread = F.xxhash64("digest")
+    part = F.when(F.col("page_id").isNull(), F.pmod(spread, F.lit(len(at) + 1))).otherwise(low + F.pmod(spread, high - low + 1))
+    rows = rows.withColumn("part", part.cast("int")).repartitionById(parts, F.col("part"))
     rows = rows.sortWithinPartitions("part", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +139,9 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
         out, size, shard, number, sees = [], 0, None, 0, (None, None, None)
 
         def closed() -> pa.RecordBatch:
-            name = f"{shard:06d}-{number:06d}.warc.gz"
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary())], names=["name", "content"])
+            name, content = f"{shard:06d}-{number:06d}.warc.gz", b"".join(out)
+            cells = {"name": name, "records": len(out), "sha256": hashlib.sha256(content).hexdigest(), "content": content}
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in cells.values()], names=[*cells])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -136,34 +162,41 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
         if out:
             yield closed()
 
-    files = rows.mapInArrow(run, "name string, content binary")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    temporary = f"{folder}/.writing-{uuid.uuid4().hex}"
+    files = rows.mapInArrow(run, "name string, records long, sha256 string, content binary")
     # A text row is written as its bytes are; the separator is a zero byte, which gzip takes as padding.
-    files.select(F.col("content").cast("string").alias("value"), "name").write.partitionBy("name").option("lineSep", "\0").text(temporary)
-    for entry in fs.globStatus(fs_path(f"{temporary}/name=*/part-*")) or []:
-        name = entry.getPath().getParent().getName().removeprefix("name=")
-        if not fs.rename(entry.getPath(), fs_path(f"{folder}/{name}")):
-            raise OSError(f"{folder}/{name} can't be put in place")
-    fs.delete(fs_path(temporary), True)
-    written = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    listed = written.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    stream = fs.create(fs_path(f"{folder}/.manifest.tmp"), True)
-    for row in listed.orderBy("name").toLocalIterator():
-        stream.write(bytearray((json.dumps(row.asDict()) + "\n").encode()))
-    stream.close()
-    if not fs.rename(fs_path(f"{folder}/.manifest.tmp"), fs_path(f"{folder}/manifest.json")):
-        raise OSError(f"{folder} has a manifest already")
+    data = f"{folder}/data-{run_id}"
+    files.select(F.col("content").cast("string").alias("value"), "name", "records", "sha256").write.partitionBy("name", "records", "sha256").option("lineSep", "\0").text(data)
+    tables.drop("answers")
+    # Only names and lengths are looked at here.
+    told = lambda k: F.regexp_extract("path", f"/{k}=([^/]*)/", 1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(data).select("path", "length")
+    inside = F.substring_index("path", f"/data-{run_id}/", -1)
+    rows = listed.select(told("name").alias("name"), F.concat(F.lit(f"data-{run_id}/"), inside).alias("file"), F.col("length").alias("bytes"), told("records").cast("long").alias("records"), told("sha256").alias("sha256"))
+    rows.repartitionByRange("name").sortWithinPartitions("name").write.json(f"{folder}/manifest-{run_id}")
+    if not fs.rename(path(f"{folder}/manifest-{run_id}"), path(f"{folder}/manifest")):
+        raise OSError(f"{folder}/manifest can't be put in place")
     return folder
 
 
+def file_system(spark: SparkSession, folder: str):
+    """Hadoop's file system of a folder, and its class of paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """name, file, bytes (with one of padding), records and sha256 (of the bytes without padding) of each archive."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path(f"{folder}/manifest")):
+        raise FileNotFoundError(f"{folder} has no manifest")
+    return spark.read.schema("name string, file string, bytes long, records long, sha256 string").json(f"{folder}/manifest")
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of a folder that write_archives has committed."""
+    """The records of a folder that write_archives has committed; a file that isn't as its folder says raises."""
     ship(spark)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    if not fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(f"{folder}/manifest.json")):
-        raise FileNotFoundError(f"{folder} has no manifest")
+    first = read_manifest(spark, folder).select("file").first()
+    run_id = first.file.split("/")[0] if first else None
     schema = spark.createDataFrame([], RECORDS).schema
     names = schema.names
 
@@ -171,9 +204,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         from tessella.llm.warc import members, parse
 
         for b in batches:
-            for content in b.column("content"):
-                rows, size = [], 0
-                for m in members(content.as_py()):
+            for file, content in zip(b.column("path"), b.column("content"), strict=True):
+                rows, size, content = [], 0, content.as_py()
+                if f"/sha256={hashlib.sha256(content[:-1]).hexdigest()}/" not in file.as_py():  # behind it lies one byte of padding
+                    raise ValueError(f"damaged archive {file.as_py()}")
+                for m in members(content):
                     rows.append(parse(m))
                     size += len(m)
                     if size > 8 << 20:
@@ -186,7 +221,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     def batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in names], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+    if run_id is None:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/{run_id}").select("path", "content")
     return files.mapInArrow(run, schema)
 
 

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import url_rules, warc
 from tessella.llm.runtime import work_folder
@@ -62,11 +63,12 @@ def test_files_are_gzip_and_deterministic(spark):
     listed = []
     for n in (1, 3):
         folder = warc.write_archives(pages.repartition(n), work_folder(spark, "test-warc"), roll_bytes=300)
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).collect()
-        listed.append({f.path.rsplit("/", 1)[1]: bytes(f.content) for f in files})
-        manifest = spark.read.json(f"{folder}/manifest.json").collect()
-        assert {m.name: m.sha256 for m in manifest} == {k: hashlib.sha256(v).hexdigest() for k, v in listed[-1].items()}
-        assert all(gzip.decompress(v).startswith(b"WARC/1.1\r\n") for v in listed[-1].values())
+        listed.append({})
+        for m in warc.read_manifest(spark, folder).collect():
+            content = bytes(spark.read.format("binaryFile").load(f"{folder}/{m.file}").first().content)
+            assert m.bytes == len(content) and m.sha256 == hashlib.sha256(content[:-1]).hexdigest()
+            assert gzip.decompress(content).count(b"WARC/1.1\r\n") == m.records
+            listed[-1][m.name] = content
     assert len(listed[0]) > 2 and listed[0] == listed[1]
 
 
@@ -75,3 +77,45 @@ def test_no_pages_and_no_manifest(spark):
     assert warc.read_archives(spark, warc.write_archives(none, work_folder(spark, "test-warc"))).count() == 0
     with pytest.raises(FileNotFoundError):
         warc.read_archives(spark, work_folder(spark, "test-warc"))
+
+
+def test_a_stopped_run_leaves_nothing_that_is_read(spark):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string, part int")
+    folder = work_folder(spark, "test-warc")
+    broken = pages.withColumn("html", F.when(F.col("page_id") == 5, F.raise_error(F.lit("stopped"))).otherwise(F.col("html")))
+    with pytest.raises(Exception, match="stopped"):
+        warc.write_archives(broken, folder)
+    spark.range(3).selectExpr("string(id)").write.text(f"{folder}/data-run-old")  # what a run left that was stopped later on
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, folder)
+    assert warc.read_archives(spark, warc.write_archives(pages, folder)).count() == len(page_rows())
+    with pytest.raises(FileExistsError):
+        warc.write_archives(pages, folder)
+
+
+def test_one_page_id_and_null_ids_are_split(spark):
+    rows = spark.range(600).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS page_id", "'u' AS url", "repeat(string(id), 300) AS html")
+    folder = warc.write_archives(rows, work_folder(spark, "test-warc"), part_bytes=20_000)
+    got = warc.read_archives(spark, folder)
+    assert got.count() == 600 and got.where("page_id IS NULL").count() == 200 and got.where("record_type = 'revisit'").count() == 0
+    assert max(m.records for m in warc.read_manifest(spark, folder).collect()) < 200
+
+
+def test_a_large_payload_is_one_file(spark):
+    body = "é" * 200_000
+    pages = spark.createDataFrame([(1, "u", body), (2, "u", "small"), (3, "u", body)], "page_id long, url string, html string")
+    folder = warc.write_archives(pages, work_folder(spark, "test-warc"), roll_bytes=10)
+    assert [m.records for m in warc.read_manifest(spark, folder).collect()] == [1, 1, 1]
+    got = {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.read_archives(spark, folder).collect()}
+    assert got == {1: (400_000, 3), 2: (5, None), 3: (400_000, None)}
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "y", 5)], "page_id long, url string, `a.b` string, `_row` long")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    made = url_rules.judge_urls(df, rules)
+    assert made.columns == ["page_id", "url", "a.b", "_row", "host", "path", "rule", "verdict"]
+    assert tuple(made.first()) == (1, "http://a.net/x", "y", 5, "a.net", "/x", "net/", "block")
+    long = "http://" + "a." * 50_000 + "net/" + "p" * 100_000
+    named = spark.createDataFrame([(long,)], "`u.r.l` string")
+    assert url_rules.judge_urls(named, rules, url="u.r.l").first().verdict == "block"

@@ -7,7 +7,10 @@ every way in which the vocabulary could go on shares its first tokens, these are
 lookahead is bounded by the longest token. States and transitions are built when first met and
 kept; the store is emptied when it exceeds KEPT, which changes time and memory only, not results.
 
-Edge cases: a null text counts as empty and has no ids; extra columns pass through untouched.
+Edge cases: a null text counts as empty and has no ids; repeated rows are encoded each; ties do not
+arise, as ranks differ; texts are whole however long, and a long piece lets go of its states on the
+way. Columns named like the results (ids, n_tokens, decoded, the digests) are replaced; all others
+pass through, whatever their names (round_trip leaves the text out).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessella.llm.runtime import ship
+from tessella.llm.runtime import numbered, ship
 
 #: How many transitions, token pairs and pieces (in each of two generations) a worker keeps.
 KEPT = 300_000
@@ -163,15 +166,22 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:  # a piece that is a token stays whole
             return [self.ranks[piece]]
-        if len(self.steps) > self.kept:
-            self.clear()
         out: list[int] = []
-        state, steps = 0, self.steps
-        for byte in piece:
-            made = steps.get(state << 8 | byte) or self.step(state, byte)
-            if made[0]:
-                out += made[0]
-            state = made[1]
+        state = 0
+        for at in range(0, len(piece), 1024):
+            if len(self.steps) > self.kept:  # only the state that the piece is in lives on
+                held = self.states[state], next(k for k, v in self.number.items() if v == state)
+                self.clear()
+                state = self.number.get(held[1], 1)
+                if state:
+                    self.states.append(held[0])
+                    self.number[held[1]] = 1
+            steps = self.steps
+            for byte in piece[at : at + 1024]:
+                made = steps.get(state << 8 | byte) or self.step(state, byte)
+                if made[0]:
+                    out += made[0]
+                state = made[1]
         return out + self.end(state)
 
 
@@ -274,18 +284,19 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", ids
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
     df = df.drop(ids, n_tokens)
+    rows, (body,) = numbered(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.byte_bpe import codec
 
         c = codec(vocabulary.value, pattern, kept)
         for b in batches:
-            packed = [c.encode(t or "") for t in b.column(text).to_pylist()]
+            packed = [c.encode(t or "") for t in b.column(body).to_pylist()]
             cols = [*b.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, ids, n_tokens])
 
-    out = T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())])
-    return df.mapInArrow(run, out)
+    out = T.StructType([*rows.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())])
+    return rows.mapInArrow(run, out).toDF(*df.columns, ids, n_tokens)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -294,16 +305,17 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
     df = df.drop(text)
+    rows, (packed,) = numbered(df, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.byte_bpe import codec
 
         c = codec(vocabulary.value, pattern)
         for b in batches:
-            texts = ["".join(c.decode(x or b"")) for x in b.column(ids).to_pylist()]
+            texts = ["".join(c.decode(x or b"")) for x in b.column(packed).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])).toDF(*df.columns, text)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -313,6 +325,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
     df = df.drop(*made)
+    rows, (body,) = numbered(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.byte_bpe import codec
@@ -320,7 +333,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
         c = codec(vocabulary.value, pattern)
         for b in batches:
             numbers, digests, decoded = [], [], []
-            for t in b.column(text):
+            for t in b.column(body):
                 ids = c.encode(t.as_py() or "")
                 again = hashlib.sha256()
                 for part in c.decode(ids):
@@ -329,11 +342,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
                 digests.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(again.hexdigest())
             cols = [pa.array(numbers, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.drop_columns([text]).columns, *cols], names=[*(n for n in b.schema.names if n != text), *made])
+            yield pa.RecordBatch.from_arrays([*b.drop_columns([body]).columns, *cols], names=[*(n for n in b.schema.names if n != body), *made])
 
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in rows.schema.fields if f.name != body]
     out = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return df.mapInArrow(run, out)
+    return rows.mapInArrow(run, out).toDF(*(c for c in df.columns if c != text), *made)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

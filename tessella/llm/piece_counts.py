@@ -5,8 +5,14 @@ characters that no longer piece has), so each cut part is encoded by itself. New
 gathered, laid end to end in one array and merged in rounds: in a round every part applies its
 pair of best rank, until no part has a pair left. What survives is counted.
 
+A part above LONG symbols is first cut between characters that no piece holds side by side; what
+is still longer would need a round for nearly each of its pairs, so its pairs wait in a heap by
+rank and place instead, with the same result: the time grows with the length, not its square.
+
 Edge cases: a null or empty text has no tokens; a character that the model lacks counts as its
-UTF-8 bytes, as the model's byte fallback has it; ties of rank go to the leftmost pair.
+UTF-8 bytes, as the model's byte fallback has it; ties of rank go to the leftmost pair; very long
+texts are counted whole, a batch holds few of them; repeated rows are counted each; an empty table
+stays empty; a column named like the result is replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -16,18 +22,23 @@ import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.byte_bpe import read_vocabulary
-from tessella.llm.runtime import ship
+from tessella.llm.runtime import numbered, ship
 
 MARK = "▁"
-PARTS_KEPT = 1_000_000
+LONG = 256  # symbols in a part
+KNOWN_BYTES = 128 << 20  # about what a worker keeps of parts that it has counted
+KNOWN_CHARS = 64  # longer parts are not kept
+BATCH_CHARS = 4 << 20  # characters of texts that are cut at once
 NEVER = np.iinfo(np.int64).max
 
 
@@ -107,6 +118,9 @@ class PieceModel:
         self.safe = np.array([safe[m] for m in self.made.tolist()], dtype=bool)
         inner = {x for p in names if len(p) > 1 for x in p}
         crossing = any(a != MARK and b == MARK for p in names for a, b in zip(p, p[1:], strict=False))
+        joints = np.array(sorted({ord(a) << 32 | ord(b) for p in names for a, b in zip(p, p[1:], strict=False)}), dtype=np.int64)
+        self.joints = joints if len(joints) else np.array([-1], dtype=np.int64)
+        self.table: dict[int, tuple[int, int]] = {}
         lone = "\n" if "\n" not in inner else ""
         self.cut = re.compile(f"[^{lone}]+|{lone}" if crossing and lone else "(?s:.+)" if crossing else f"{MARK}*[^{MARK}{lone}]+|{MARK}+" + (f"|{lone}" if lone else "")).findall
 
@@ -119,7 +133,52 @@ class PieceModel:
     def parts(self, text: str) -> list[str]:
         if not text:
             return []
-        return self.cut((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
+        whole = self.cut((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
+        if len(text) <= LONG or max(map(len, whole)) <= LONG:
+            return whole
+        return [x for p in whole for x in (self.apart(p) if len(p) > LONG else (p,))]
+
+    def apart(self, part: str) -> list[str]:
+        """A part cut between characters that no piece holds side by side."""
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        key = code[:-1] << 32 | code[1:]
+        at = np.minimum(np.searchsorted(self.joints, key), len(self.joints) - 1)
+        cuts = np.flatnonzero(self.joints[at] != key) + 1
+        return [part[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)]
+
+    def count_long(self, part: str) -> int:
+        """As count, of one long part: the pair of best rank and leftmost place comes next from a heap."""
+        if not self.table and len(self.keys):
+            self.table = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        known, others = self.id, {}
+        sym = [known[c] if c in known else others.setdefault(c, (1 << 31) - 1 - len(others)) for c in part]
+        cost = {i: len(c.encode()) for c, i in others.items()}
+        n, find = len(sym), self.table.get
+        behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [pair[0] << 40 | i for i in range(n - 1) if (pair := find(sym[i] << 32 | sym[i + 1]))]
+        heapify(waiting)
+        while waiting:
+            top = heappop(waiting)
+            i = top & (1 << 40) - 1
+            j = behind[i]
+            if sym[i] < 0 or j >= n:
+                continue
+            pair = find(sym[i] << 32 | sym[j])
+            if pair is None or pair[0] != top >> 40:  # an older pair of this place
+                continue
+            sym[i], sym[j] = pair[1], -1
+            k = behind[i] = behind[j]
+            if k < n:
+                before[k] = i
+                pair = find(sym[i] << 32 | sym[k])
+                if pair:
+                    heappush(waiting, pair[0] << 40 | i)
+            h = before[i]
+            if h >= 0:
+                pair = find(sym[h] << 32 | sym[i])
+                if pair:
+                    heappush(waiting, pair[0] << 40 | h)
+        return sum(cost.get(s, 1) for s in sym if s >= 0)
 
     def count(self, parts: list[str]) -> list[int]:
         """Surviving symbols of each part, bytes for characters that the model lacks."""
@@ -191,47 +250,83 @@ class PieceModel:
         return sym[:0], seq[:0]
 
 
-_models: dict[str, tuple[PieceModel, dict[str, int]]] = {}
+class Known:
+    """Counts of short parts, bounded by about the bytes they take; emptied when full, which changes time only."""
+
+    def __init__(self, most: int = KNOWN_BYTES):
+        self.most, self.size = most, 0
+        self.counts: dict[str, int] = {}
+
+    def add(self, parts: list[str], counts: list[int]) -> None:
+        self.size += sum(map(len, parts)) + 150 * len(parts)
+        if self.size > self.most:
+            self.counts, self.size = {}, 0
+        else:
+            self.counts.update(zip(parts, counts, strict=True))
+
+
+_models: dict[str, tuple[PieceModel, Known]] = {}
 
 
-def loaded(data: bytes) -> tuple[PieceModel, dict[str, int]]:
+def loaded(data: bytes) -> tuple[PieceModel, Known]:
     key = hashlib.sha256(data).hexdigest()
     if key not in _models:
         _models.clear()
-        _models[key] = PieceModel(data), {}
+        _models[key] = PieceModel(data), Known()
     return _models[key]
 
 
-def count_batch(model: PieceModel, known: dict[str, int], texts: list[str | None]) -> list[int]:
+def count_batch(model: PieceModel, known: Known, texts: list[str | None]) -> list[int]:
     cut = [model.parts(t or "") for t in texts]
-    new = list({p for parts in cut for p in parts if p not in known})
-    if len(known) + len(new) > PARTS_KEPT:
-        known.clear()
-        new = list({p for parts in cut for p in parts})
-    for i in range(0, len(new), 1 << 16):
-        some = new[i : i + (1 << 16)]
-        known.update(zip(some, model.count(some), strict=True))
-    return [sum([known[p] for p in parts]) for parts in cut]
-
-
-def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens", rows_at_once: int = 2000) -> DataFrame:
+    have = known.counts
+    new = list({p for parts in cut for p in parts if p not in have})
+    fresh = {p: model.count_long(p) for p in new if len(p) > LONG}
+    some, size = [], 0
+    for p in [*(p for p in new if len(p) <= LONG), None]:
+        if p is None or size > 1 << 18:
+            fresh.update(zip(some, model.count(some), strict=True))
+            some, size = [], 0
+        if p is not None:
+            some.append(p)
+            size += len(p)
+    out = [sum([fresh[p] if p in fresh else have[p] for p in parts]) for parts in cut]
+    kept = [p for p in fresh if len(p) <= KNOWN_CHARS]
+    known.add(kept, [fresh[p] for p in kept])
+    return out
+
+
+def in_turn(lengths: list[int], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of rows of about most characters each."""
+    start = size = 0
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of a text column."""
     spark = df.sparkSession
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
     df = df.drop(n_tokens)
+    rows, (body,) = numbered(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessella.llm.piece_counts import count_batch, loaded
+        from tessella.llm.piece_counts import count_batch, in_turn, loaded
 
         model, known = loaded(vocabulary.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, rows_at_once):
-                b = whole.slice(i, rows_at_once)
-                counts = count_batch(model, known, b.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], names=[*b.schema.names, n_tokens])
+            sizes = [n or 0 for n in pc.binary_length(whole.column(body)).to_pylist()]
+            for a, b in in_turn(sizes):
+                some = whole.slice(a, b - a)
+                counts = count_batch(model, known, some.column(body).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(counts, pa.int64())], names=[*some.schema.names, n_tokens])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(n_tokens, T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(n_tokens, T.LongType())])).toDF(*df.columns, n_tokens)
 
 
 def op10(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:

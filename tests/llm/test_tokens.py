@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -45,13 +47,13 @@ def test_byte_bpe_equals_library(codec, library, text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abct he\n▁é<>", max_size=80))
 def test_piece_counts_equal_library(model, pieces, text):
-    assert piece_counts.count_batch(model, {}, [text]) == [len(pieces.encode(text))]
+    assert piece_counts.count_batch(model, piece_counts.Known(), [text]) == [len(pieces.encode(text))]
 
 
 def test_odd_texts(codec, library, model, pieces):
     for t in ODD:
         assert np.frombuffer(codec.encode(t), "<u4").tolist() == library.encode_ordinary(t)
-    assert piece_counts.count_batch(model, {}, ODD) == [len(pieces.encode(t)) for t in ODD]
+    assert piece_counts.count_batch(model, piece_counts.Known(), ODD) == [len(pieces.encode(t)) for t in ODD]
 
 
 def test_states_may_be_dropped(library):
@@ -70,7 +72,7 @@ def test_utf8_stream_holds_back_incomplete_characters():
 
 
 def test_columns_and_nulls(spark, docs):
-    df = docs([(1, None), (2, "one two"), (2, "one two"), (3, "")], extra=["ids", "decoded"])
+    df = docs([(1, None), (2, "one two"), (2, "one two"), (3, "")], extra=["ids", "decoded", "a.b", "c0", "n_tokens"])
     made = byte_bpe.decode_ids(byte_bpe.encode_texts(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
     assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in made) == [(1, 0, ""), (2, 2, "one two"), (2, 2, "one two"), (3, 0, "")]
     back = {r.doc_id: r for r in byte_bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect()}
@@ -79,3 +81,39 @@ def test_columns_and_nulls(spark, docs):
     assert sorted((r.doc_id, r.n_tokens) for r in counts) == [(1, 0), (2, 2), (2, 2), (3, 0)]
     assert byte_bpe.encode_texts(docs([]), RANKS, public_tokenizers.PATTERN).count() == 0
     assert piece_counts.count_tokens(docs([]), PIECES).count() == 0
+
+
+def test_long_pieces_take_time_in_proportion(model, pieces, codec, library):
+    r = random.Random(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "a", "中文字é🙂"):
+        for n in (3000, 100_000):
+            text = "".join(r.choice(alphabet) for _ in range(n))
+            began = time.time()
+            assert piece_counts.count_batch(model, piece_counts.Known(), [text]) == [len(pieces.encode(text))]
+            assert time.time() - began < 20
+    small = byte_bpe.Codec(byte_bpe.read_vocabulary(RANKS), public_tokenizers.PATTERN, kept=500)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert len(small.machine.steps) <= 500 + 1024
+
+
+def test_kept_counts_are_bounded(model, pieces):
+    known = piece_counts.Known(2000)
+    texts = [f"some {i} more words{i} and{i * 7}" for i in range(50)]
+    assert [piece_counts.count_batch(model, known, [t])[0] for t in texts] == [len(pieces.encode(t)) for t in texts]
+    assert known.size <= 2000
+    piece_counts.count_batch(model, known, ["y" * 100])
+    assert all(len(p) <= piece_counts.KNOWN_CHARS for p in known.counts)
+
+
+def test_queries_equal_libraries(spark, docs, library, pieces, tmp_path):
+    texts = [None, "", "one two", "é🙂 x" * 3000, "one two", *ODD]
+    docs(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in byte_bpe.op9(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id] or ""
+        ids = np.array(library.encode_ordinary(text), dtype="<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    for r in piece_counts.op10(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id] or ""
+        n = len(pieces.encode(text))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 4096)

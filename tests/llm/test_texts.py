@@ -88,8 +88,8 @@ def test_leaks(spark, docs):
     half = " ".join(w[:5])
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, item), (5, "nu xi omicron pi rho sigma")], "item_id long, text string")
     rows = [(1, f"x {item} y"), (2, turned.upper() + "!"), (3, half), (4, None), (5, ""), (6, "clean text of other words"), (None, item)]
-    for size in (1, 1_000_000):
-        made = tiling.find_leaks(docs(rows, extra=["leaks"]), bench, block_tokens=size)
+    for size in (0, 1_000_000):  # joined, and from a broadcast
+        made = tiling.find_leaks(docs(rows, extra=["leaks"]), bench, most_bytes=size)
         got = {r.doc_id: [x.item_id for x in r.leaks] for r in made.collect()}
         assert got == {1: [1, 4], 2: [1, 4], 3: [], 4: [], 5: [], 6: [], None: [1, 4]}
     assert tiling.find_leaks(docs([]), bench).count() == 0 and tiling.find_leaks(docs(rows), bench.limit(0)).where("size(leaks) > 0").count() == 0
@@ -108,5 +108,14 @@ def test_chat_round_trip(spark):
         assert [r.m for r in own if r.m] == [t for role, t in turns if role == "assistant"]
         for r in own:  # all turns before the target and the target, nothing behind it
             assert [tuple(t) for t in r.t] == turns[: r.position]
-    assert made.where("conv_id = 1").count() == 2
+    assert made.where("conv_id = 1").count() == 2 and made.where("lone IS NOT NULL").count() == 1
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_of_very_many_turns_and_rows_without_conversation(spark):
+    rows = spark.range(20_000).selectExpr("5L AS conv_id", "id AS turn", "if(id IN (3, 9000), 'assistant', 'user') AS role", "string(id) AS text")
+    made = chat.format_conversations(rows).orderBy("position").collect()
+    assert [r.position for r in made] == [4, 9001, 20_000]
+    assert [r.formatted[r.loss_start : r.loss_end] for r in made] == ["3", "9000", ""]
+    lone = spark.createDataFrame([(None, 1, "assistant", "a"), (None, 1, "assistant", "a"), (None, 2, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert [r.position for r in chat.format_conversations(lone).collect()] == [1, 1, 1]

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -47,3 +49,42 @@ def test_the_free_head_of_a_covered_match_counts(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
     leaks = tiling.find_leaks(docs([(1, text)], extra=["leaks"]), bench).first().leaks
     assert [tuple(x) for x in leaks] == [(1, 2, 14, 20, 0.7)]
+
+
+def brute_leaks(text, items, least=5, threshold=0.5):
+    words = re.findall(r"\w+", (text or "").lower())
+    out = []
+    for number, body in items:
+        item = re.findall(r"\w+", (body or "").lower())
+        code = {w: i for i, w in enumerate(dict.fromkeys(item))}
+        tiles, covered = slow_tile([code.get(w, -1) for w in words], [code[w] for w in item], least)
+        if len(item) >= least and covered >= threshold * len(item):
+            out.append((number, tiles, covered, len(item)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most_bytes", [0, 1 << 20])
+def test_leaks_equal_brute_force(spark, docs, most_bytes):
+    r = random.Random(11)
+    word = lambda n: [f"w{r.randrange(n)}" for _ in range(r.randint(4, 40))]
+    items = [(i, " ".join(word(r.choice((3, 12, 400))))) for i in range(12)] + [(50, "one two"), (51, None)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            w = items[r.randrange(12)][1].split()
+            at = r.randrange(len(w))
+            parts.append(" ".join(w[at : at + r.randint(3, 30)] * r.choice((1, 1, 2))))
+            parts.append(" ".join(word(500)[: r.randint(0, 9)]))
+        rows.append((i, r.choice((" ", ", ")).join(parts)))
+    rows += [(None, items[0][1]), (70, None), (71, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = tiling.find_leaks(docs(rows, extra=["row", "a.b"]), bench, most_bytes=most_bytes)
+    assert [c for c in got.columns if c != "leaks"] == docs(rows, extra=["row", "a.b"]).columns
+    assert sorted((str(x.doc_id), [tuple(y)[:4] for y in x.leaks]) for x in got.collect()) == sorted((str(d), brute_leaks(t, items)) for d, t in rows)
+
+
+def test_equal_tokens_take_no_time():
+    began = time.time()
+    assert tiling.tile([1] * 16_000, [1] * 400, 5) == (1, 400)
+    assert time.time() - began < 10

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounds(df: DataFrame, key: str, parts: int, per_part: int = 100, most: int = 1 << 18) -> list:
+def bounds(df: DataFrame, key: str, parts: int, per_part: int = 40, most: int = 1 << 17) -> list:
     """parts - 1 rising bounds from the per_part * parts rows (at most most) of lowest hash: the one bounded sample, it moves rows between tasks but changes no result."""
     columns = [F.col(c) for c in df.columns]
     got = df.where(F.col(key).isNotNull()).select(key, F.xxhash64(*columns).alias("_h")).orderBy("_h", key).limit(min(most, per_part * parts)).collect()

@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, quality, secrets, tiling
@@ -119,3 +121,41 @@ def test_chat_of_very_many_turns_and_rows_without_conversation(spark):
     assert [r.formatted[r.loss_start : r.loss_end] for r in made] == ["3", "9000", ""]
     lone = spark.createDataFrame([(None, 1, "assistant", "a"), (None, 1, "assistant", "a"), (None, 2, "user", "b")], "conv_id long, turn long, role string, text string")
     assert [r.position for r in chat.format_conversations(lone).collect()] == [1, 1, 1]
+
+
+def test_very_many_findings(spark, docs):
+    text = " ".join(f"{i}é token: abcdefgh{i}" for i in range(4000)) + " end"
+    ledger = work_folder(spark, "test-ledger")
+    began = time.time()
+    got = secrets.findings(docs([(1, text)]).select("doc_id", "text"), ledger).select(secrets.joined(F.col("found")).alias("s")).first().s
+    assert got == spans(text)
+    made = secrets.redact(docs([(1, text), (2, "a token: " + "ab12" * 12 + " b")]), ledger)
+    assert {r.doc_id: r.text for r in made.collect()} == {1: " ".join(f"{i}é [secret]" for i in range(4000)) + " end", 2: "a [secret] b"}
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_only_unseen_blobs_are_scanned(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", most)  # 0: nothing is broadcast
+    ledger = work_folder(spark, "test-ledger")
+    first = docs([(i, f"text {i} token: abcdefgh{i}") for i in range(20)])
+    secrets.redact(first, ledger).count()
+    more = docs([(i, f"text {i % 25} token: abcdefgh{i % 25}") for i in range(60)] + [(99, None)])
+    made = secrets.redact(more, ledger)
+    assert {(r.doc_id, r.text) for r in made.collect()} == {(i, f"text {i % 25} [secret]") for i in range(60)} | {(99, None)}
+    held = spark.read.parquet(ledger)
+    assert held.count() == held.select("blob").distinct().count() == 26
+    secrets.redact(more, ledger)
+    assert spark.read.parquet(ledger).count() == 26
+
+
+def test_op1_uses_the_sessions_ledger(spark, docs, tmp_path):
+    docs([(1, "token: abcdefghij"), (2, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    ledger = work_folder(spark, "test-ledger")
+    spark.conf.set("spark.tessella.secretLedger", ledger)
+    try:
+        for _ in range(2):
+            assert {r.doc_id: r.spans for r in secrets.op1(spark, str(tmp_path)).collect()} == {1: "assign:0:17", 2: ""}
+        assert spark.read.parquet(ledger).count() == 2
+    finally:
+        spark.conf.unset("spark.tessella.secretLedger")

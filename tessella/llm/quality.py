@@ -8,8 +8,10 @@ the base rules and the score is at least the threshold. The trusted counts are d
 raw ones by PRIOR pseudo-counts, so buckets without evidence say nothing.
 
 TRUSTED_ROWS bounds the trusted sample (lowest hashes of doc_id among quality 1); everything else
-covers all rows. Edge cases: a null text has no words and fails; with no trusted documents all
-scores are 0 and only the base rules decide; repeated rows are judged each; columns named like the results are replaced.
+covers all rows. Edge cases: a null text has no words and fails; texts are judged whole, however long; with
+no trusted documents all scores are 0 and only the base rules decide; repeated rows and labels are
+judged and counted once each; rows of equal hash are drawn by doc_id, so ties have one order; the
+columns that judge returns (BASE, llr, kept) replace ones of these names, all others pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.runtime import table
+from tessella.llm.runtime import quoted, table
 
 BUCKETS = 1 << 13
 PRIOR = 8192.0
@@ -39,38 +41,54 @@ def let(value: Column, use) -> Column:
 def repeated(words: Column) -> Column:
     """Words that lie in windows of three words found twice or more."""
 
-    def windows(w: Column) -> Column:
+    def windows(w: Column, of) -> Column:
         count = F.size(w) - 2
-        return F.when(count > 0, F.transform(F.slice(w, 1, count), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+        made = F.transform(F.slice(w, 1, F.greatest(count, F.lit(0))), lambda x, i: of(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return made
 
-    def marked(h: Column) -> Column:
-        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    def marked(v: Column) -> Column:
+        order = F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))
 
         def twins(s: Column) -> Column:
-            same = lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
+            same = lambda x, i: (x["v"] == F.get(s, i - 1)["v"]) | (x["v"] == F.get(s, i + 1)["v"])
             return F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
 
         # Each window adds the words that the one before it has not covered: three at most.
         covered = lambda d: F.aggregate(F.transform(d, lambda x, i: F.least(F.lit(3), F.coalesce(x - F.get(d, i - 1), F.lit(3)))), F.lit(0), lambda a, x: a + x)
         return let(let(order, twins), covered)
 
-    return let(windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(marked(h))).cast("long")
+    # Hashes that all differ show that nothing repeats; else the windows themselves are compared (words hold no blanks).
+    by_value = let(windows(words, lambda *w: F.concat_ws(" ", *w)), marked)
+    return let(windows(words, F.xxhash64), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(by_value)).cast("long")
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.drop(*BASE)
+    t = F.coalesce(F.col(quoted(text)), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    df = df.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    held = free_name(df, "_words")
+    words = F.col(quoted(held))
+    df = df.withColumn(held, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
     df = df.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": let(F.col("_words"), repeated),
+            "n_repeat_words": let(words, repeated),
         }
-    ).drop("_words")
+    ).drop(held)
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -113,8 +131,7 @@ def score(df: DataFrame, ratios: list[float], text: str = "text", name: str = "l
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """docs with the base rules' columns, llr and kept."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_words", "_good"]
-    docs = docs.drop(*made)
+    docs = docs.drop(*BASE, "llr", "kept")
     ratios = fit(docs.select("doc_id", "text"), labels, trusted_rows)
     return score(base_rules(docs), ratios).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 

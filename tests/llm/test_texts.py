@@ -1,8 +1,12 @@
 import hashlib
+import math
+import random
 import re
 import time
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, quality, secrets, tiling
@@ -159,3 +163,47 @@ def test_op1_uses_the_sessions_ledger(spark, docs, tmp_path):
         assert spark.read.parquet(ledger).count() == 2
     finally:
         spark.conf.unset("spark.tessella.secretLedger")
+
+
+def test_ratios_equal_a_direct_count(spark, docs, monkeypatch):
+    def h64(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p if isinstance(p, bytes) else p.encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["alpha", "b-c", "Δé", "x9", "$$", "..", "end."]) for _ in range(r.randint(0, 90)))) for i in range(40)] + [(None, "alpha beta"), (41, None)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(60)] + [(1, 1, 0), (None, 1, 0), (5, None, 0)]
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+
+    def grams(t):
+        w = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", t or "")
+        return [h64(x) % 64 for x in w] + [h64(x, y) % 64 for x, y in zip(w, w[1:])]
+
+    order = sorted({d for d, q, _ in labels if q == 1 and d is not None}, key=lambda d: (h64(d.to_bytes(8, "little")), d))
+    trusted = set(order[:15])
+    raw, good = Counter(), Counter()
+    for d, t in rows:
+        raw.update(grams(t))
+        if d in trusted:
+            good.update(grams(t))
+    n, g = sum(raw.values()), sum(good.values())
+    p = [(raw[b] + 1) / (n + 64) for b in range(64)]
+    expected = [math.log((good[b] + quality.PRIOR * p[b]) / (g + quality.PRIOR) / p[b]) for b in range(64)]
+    df, told = docs(rows, extra=["_words", "kept", "a.b"]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.fit(df.select("doc_id", "text"), told, 15)
+    assert got == pytest.approx(expected, abs=1e-12)
+    made = quality.judge(df, told, threshold=-0.0005, trusted_rows=15)
+    assert [c for c in made.columns if c in df.columns] == [c for c in df.columns if c != "kept"] + ["kept"]
+    for row in made.collect():
+        text = dict(rows)[row.doc_id]
+        own = grams(text)
+        llr = sum(expected[b] for b in own) / len(own) if own else 0.0
+        assert row.llr == pytest.approx(llr, abs=1e-12) and row.kept == (not base(text)[-1] and llr >= -0.0005)
+
+
+def test_very_long_text_is_judged_whole(spark, docs):
+    text = " ".join(f"w{i}" for i in range(60_000)) + "\nlast line\nlast line w0 w1 w2"
+    row = quality.base_rules(docs([(1, text)])).first()
+    assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed) == base(text)

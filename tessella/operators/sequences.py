@@ -346,6 +346,11 @@ def trim_totals(summary: DataFrame) -> DataFrame:
     )
 
 
+def short_loci(df: DataFrame, by: str, seq: str, least: int) -> DataFrame:
+    """Of each group how many sequences are shorter than least, and their mean length."""
+    return df.groupBy(by).agg(F.count_if(F.length(seq) < least).alias("short_loci"), F.round(F.avg(F.length(seq)), 2).alias("mean_length"))
+
+
 def assemblies(df: DataFrame, level: str, levels: list[str] | None, n50: str, least_n50: float | None, annotated: str | None = None, most: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Assemblies of the wanted levels with enough contiguity (unknown fails) and annotation."""
     out = df

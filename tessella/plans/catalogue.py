@@ -2,41 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import bands, similarity, text
-from tessella.functions.shipping import ship
 from tessella.operators import extraction, ledger, models, nodes, pages, places, requests, sampling, scoring, sequences
+from tessella.plans.registry import T, joined, query
 from tessella.sources.sequences import newick_tips, regrouped
 
-Query = Callable[[SparkSession, str], DataFrame]
-CATALOGUE: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def keep(f: Query) -> Query:
-        @functools.wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        CATALOGUE[name or f.__name__] = run, sql
-        return f
-
-    return keep
-
-
-def T(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def joined(c, sep: str = ",") -> F.Column:
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
-
 
 def customers_placed(s, d):
     return T(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
@@ -105,16 +78,10 @@ def levenshtein_name_match(s, d):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
-def fuzzy_name_match(s, d):
-    part = T(s, d, "part")
-    return similarity.similar_names(part.select(F.col("p_type").alias("name")), part.select(F.replace("p_type", F.lit("E"), F.lit("")).alias("name")), 0.85)
-
-
 def hierarchy(s, d):
     names = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     blank = F.lit(None).cast("string")
-    sites = T(s, d, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey"))
+    sites = T(s, d, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey"))
     sites = sites.select("c_custkey", F.col("r_name").alias("continent"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("province"), F.col("c_name").alias("district"), blank.alias("township"), blank.alias("locality"))
     nation = names.select(F.concat(F.lit("n"), "n_nationkey").alias("irn"), F.col("r_name").alias("continent"), F.col("n_name").alias("country"), *(blank.alias(c) for c in ("province", "district", "township", "locality")), F.lit("").alias("site_number"))
     region = T(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("irn"), F.col("r_name").alias("continent"), *(blank.alias(c) for c in ("country", "province", "district", "township", "locality")), F.lit("").alias("site_number"))
@@ -143,7 +110,7 @@ def parent_climb(s, d):
 @query("""SELECT c_custkey, 'country:' || n_name || ':exists:' || n_nationkey || ';customer:' || c_name || ':needs_creation:' AS chain, c_name || ', ' || n_name AS label
           FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def chain_build(s, d):
-    rows = T(s, d, "customer").join(F.broadcast(T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = T(s, d, "customer").join(T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
     own = [("continent", F.col("r_name")), ("country", F.col("n_name")), ("customer", F.col("c_name"))]
     cells = places.chain(own, F.lit(1), F.col("n_nationkey"))
     line = F.transform(cells, lambda x: F.concat_ws(":", x["field"], x["name"], x["status"], F.coalesce(x["irn"], F.lit(""))))
@@ -151,7 +118,7 @@ def chain_build(s, d):
 
 
 def planned(s, d):
-    rows = T(s, d, "customer").join(F.broadcast(T(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     blank, point = F.lit(None).cast("string"), F.lit(None).cast("struct<lat:double,lon:double>")
     high = F.lit(None).cast("struct<from_m:double>").alias("elevation")
     node = lambda rank, name, status, irn: F.struct(F.lit(rank).alias("rank"), name.alias("name"), F.lit(status).alias("status"), irn.alias("irn"), point.alias("coords"), high)
@@ -448,20 +415,27 @@ def stitch_pages(s, d):
     return pages.stitched(T(s, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "pages", F.md5("markdown").alias("markdown_md5"))
 
 
-@query("SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 32 AND p_retailprice / 50 >= 32 AND p_retailprice > p_size AND NOT (p_size > 0.7 * 60) GROUP BY p_brand")
+@query("""SELECT p_brand, p_size, p_size >= 11 AND p_retailprice / 90 >= 11 AS large, p_retailprice > 20 * p_size AS proper, p_size > 0.7 * 50 OR p_retailprice / 100 > 0.7 * 50 AS page_sized, count(*) AS n
+          FROM part GROUP BY ALL""")
 def region_filter(s, d):
     size, price = F.col("p_size"), F.col("p_retailprice")
-    keep = pages.large_enough(size, price / 50) & pages.proper_box(F.lit(0), size, F.lit(1), price) & ~pages.page_sized(F.array(size.cast("double")), F.lit(60.0))
-    return T(s, d, "part").where(keep).groupBy("p_brand").agg(F.count("*").alias("n"))
+    areas = F.array(size.cast("double"), price / 100)
+    gates = [pages.large_enough(size, price / 90, 11).alias("large"), pages.proper_box(20 * size, F.lit(0), price, F.lit(1)).alias("proper"), pages.page_sized(areas, F.lit(50.0)).alias("page_sized")]
+    return T(s, d, "part").select("p_brand", "p_size", *gates).groupBy("p_brand", "p_size", "large", "proper", "page_sized").agg(F.count("*").alias("n"))
 
 
 # ---- sequences
 
 
-@query("SELECT p_type AS level, count(*) AS n, CASE WHEN length(p_type) > 18 THEN substr(p_type, 1, 16) || '..' ELSE p_type END AS shown FROM part WHERE p_retailprice >= 1000 GROUP BY p_type")
+@query("""SELECT p_type AS level, count(*) AS n, CASE WHEN length(p_type) > 6 THEN substr(p_type, 1, 4) || '..' ELSE p_type END AS shown, format('{:,}', sum(p_partkey)::BIGINT) AS total
+          FROM part WHERE p_retailprice >= (SELECT avg(p_retailprice) FROM part) AND p_type IN (SELECT p_type FROM part WHERE p_partkey % 7 <> 0) GROUP BY p_type""")
 def assembly_filter(s, d):
-    kept = sequences.assemblies(T(s, d, "part"), "p_type", None, "p_retailprice", 1000)
-    return kept.groupBy(F.col("p_type").alias("level")).agg(F.count("*").alias("n")).withColumn("shown", text.shortened(F.col("level"), 18))
+    part = T(s, d, "part")
+    levels = [r.p_type for r in part.where("p_partkey % 7 <> 0").select("p_type").distinct().collect()]
+    mean = part.agg(F.avg("p_retailprice")).first()[0]
+    kept = sequences.assemblies(part, "p_type", levels, "p_retailprice", mean)
+    made = kept.groupBy(F.col("p_type").alias("level")).agg(F.count("*").alias("n"), F.sum("p_partkey").alias("total"))
+    return made.select("level", "n", text.shortened(F.col("level"), 6).alias("shown"), text.thousands(F.col("total")).alias("total"))
 
 
 QC_SQL = """SELECT l_suppkey, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS s, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'F') AS d, count(*) FILTER (l_returnflag = 'R') AS f, count(*) FILTER (l_returnflag = 'A') AS m FROM lineitem GROUP BY l_suppkey"""
@@ -637,11 +611,6 @@ def name_rules(s, d):
     return T(s, d, "customer").select("c_custkey", F.array_join(text.name_faults(F.col("c_name")), ",").alias("faults"))
 
 
-@query("SELECT lang, count(*) FILTER (length(text) < 100) AS short_loci, round(avg(length(text)), 2) AS mean_length FROM documents GROUP BY lang")
-def short_loci(s, d):
-    return T(s, d, "documents").groupBy("lang").agg(F.count_if(F.length("text") < 100).alias("short_loci"), F.round(F.avg(F.length("text")), 2).alias("mean_length"))
-
-
 LINEAGE_SQL = "VALUES " + ", ".join(f"('{n}', {'NULL' if up is None else repr(up)})" for n, _, _, up in models.LINEAGES)
 
 
@@ -663,7 +632,7 @@ def model_sets(s, d):
             LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = m.c_mktsegment GROUP BY ALL) GROUP BY c_mktsegment""")
 def geo_matrix(s, d):
     names = T(s, d, "nation").join(T(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    pairs = T(s, d, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "r_name")
+    pairs = T(s, d, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "r_name")
     areas = sorted(r.r_name for r in T(s, d, "region").collect())
     return models.presence_matrix(pairs, "c_mktsegment", "r_name", areas)
 
@@ -682,7 +651,7 @@ def geo_validate(s, d):
 
 
 def fits(s, d):
-    rows = T(s, d, "customer").join(F.broadcast(T(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     x = F.col("c_acctbal")
     cell = rows.groupBy("n_regionkey", "n_nationkey").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     r = cell.groupBy("n_regionkey").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("w"), F.count("*").alias("k"))
@@ -802,7 +771,7 @@ def batch_windows(s, d):
 
 @query("SELECT c_custkey, CASE WHEN n_name < 'M' THEN 'first' ELSE 'second' END AS half FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def enrich_stub(s, d):
-    rows = T(s, d, "customer").join(F.broadcast(T(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     made = extraction.enriched(rows.select("c_custkey", "n_name"), "n_name", "known", lambda name, _: {"half": "first" if name < "M" else "second"}, "half string")
     return made.select("c_custkey", "known.half")
 

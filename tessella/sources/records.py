@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tessella.functions.shipping import ship
 from tessella.functions.text import blank_to_null, doi, identifier, number
 
 # An export's columns, what they are called here, and which are numbers.
@@ -51,35 +53,24 @@ def read_sheet_csv(spark: SparkSession, path: str, schema: str | StructType) ->
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-class SheetSource(DataSource):
-    """XLSX sheets as rows (row_no, cells, fills): format("sheet"). Cells and fill colours of the first sheet by column number."""
+def read_sheets(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first sheet of XLSX files as rows (path, row_no, cells, fills): texts and fill colours by column number."""
+    ship(spark)
 
-    @classmethod
-    def name(cls) -> str:
-        return "sheet"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.map_(pa.int32(), pa.string()), pa.map_(pa.int32(), pa.string())]
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows = [(path, row, [*cells.items()], [*fills.items()]) for row, cells, fills in sheet_rows(io.BytesIO(content))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "row_no", "cells", "fills"])
 
-    def schema(self) -> str:
-        return "path string, row_no int, cells map<int,string>, fills map<int,string>"
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    return files.mapInArrow(run, "path string, row_no int, cells map<int,string>, fills map<int,string>")
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return SheetReader(self.options["path"].split(","))
 
-
-class SheetReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row, cells, fills in sheet_rows(partition.value):
-            yield partition.value, row, cells, fills
-
-
-def sheet_rows(path: str) -> Iterator[tuple[int, dict[int, str], dict[int, str]]]:
+def sheet_rows(file) -> Iterator[tuple[int, dict[int, str], dict[int, str]]]:
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(file) as z:
         names = set(z.namelist())
         strings = []
         if "xl/sharedStrings.xml" in names:

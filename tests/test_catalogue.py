@@ -7,7 +7,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tessella.plans.catalogue import CATALOGUE
+from tessella.plans import catalogue, files, rules  # noqa: F401  each registers its queries
+from tessella.plans.registry import CATALOGUE
 
 DATA = "/root/testdata/sf0.001"
 

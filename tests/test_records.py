@@ -33,9 +33,7 @@ def test_sheet(spark, tmp_path):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", sheet)
         z.writestr("xl/styles.xml", styles)
-    ship(spark)
-    spark.dataSource.register(records.SheetSource)
-    rows = spark.read.format("sheet").option("path", str(path)).load()
+    rows = records.read_sheets(spark, str(path))
     columns = records.site_columns(rows, ["country"])
     assert columns == {2: "Site", 3: "country"}
     assert [(r.row_no, r.Site, r.country) for r in records.sheet_records(rows, columns).collect()] == [(4, "12", "Peru")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.numbering import in_sequence
+
 # The codes of entertainment expenses.
 ENTERTAINMENT = (6455, 6460, 6470, 6475)
 
@@ -21,8 +23,8 @@ def next_number(df: DataFrame, number: str) -> DataFrame:
 
 
 def numbered_after(new: DataFrame, order: list[str], last: int, name: str = "receipt_seq") -> DataFrame:
-    """New receipts numbered on from the highest number there is; only new ones reach this window."""
-    return new.withColumn(name, F.row_number().over(Window.orderBy(*order)) + last)
+    """New receipts numbered on from the highest number there is."""
+    return in_sequence(new, order, name, last + 1).withColumn(name, F.col(name).cast("int"))
 
 
 def precedent(df: DataFrame, by: str, value: str) -> DataFrame:

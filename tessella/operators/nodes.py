@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.numbering import in_sequence
+
 # Ranks by place type, by administrative level and country, and the ranks that may be uploaded.
 PLACE_RANKS = {"city": "City", "town": "Town", "village": "Village", "hamlet": "Village", "municipality": "Municipality", "county": "County", "state": "State", "province": "Province", "country": "Country", "continent": "Continent"}
 LEVEL_RANKS = {
@@ -90,8 +92,7 @@ def plan_batches(chains: DataFrame, chain_id: str, parent: str, nodes: str, clas
     rows = chains.select(chain_id, F.posexplode(walked["out"]).alias("pos", "n")).select(chain_id, "pos", "n.*")
     # A path may name a node more than once over the chains: the first chain and place decide its number.
     new = rows.groupBy("depth", "key", "above", "rank", "name", "coords", "elevation").agg(F.min(F.struct(chain_id, "pos")).alias("at"))
-    # Only new nodes reach this window, which numbers them in one sequence as the upload needs it.
-    new = new.withColumn("id", F.row_number().over(Window.orderBy("at")))
+    new = in_sequence(new, ["at"], "id").withColumn("id", F.col("id").cast("int"))  # one sequence, as the upload needs it
     parents = new.select(F.col("key").alias("above"), F.col("depth").alias("d"), F.col("id").alias("parent_id"))
     made = new.join(parents, (new["above"] == parents["above"]) & (parents["d"] == new["depth"] - 1), "left")
     given = ~F.contains(new["above"], F.lit("\u0002"))  # nothing new stands above

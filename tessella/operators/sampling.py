@@ -20,12 +20,17 @@ def stratum(n: Column) -> Column:
 
 
 def stratified(df: DataFrame, key: str, records: str, n: int, seed: int = 42) -> DataFrame:
-    """A share of each stratum, at least one; topped up from the rest and cut at n. Adds stratum."""
+    """A share of each stratum, at least one; topped up from the rest and cut at n. Adds stratum.
+
+    No more than the n first drawn of a stratum can be taken, so only these are ranked.
+    """
     rows = df.withColumn("stratum", stratum(F.col(records))).withColumn("_draw", draw(F.col(key), seed))
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("_size"))
     sizes = sizes.withColumn("_total", F.sum("_size").over(Window.partitionBy(F.lit(0))))  # four rows at most
     quota = sizes.select("stratum", F.least("_size", F.greatest(F.lit(1), F.floor(F.col("_size") / F.col("_total") * n))).alias("_quota"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("stratum").orderBy("_draw", key))).join(F.broadcast(quota), "stratum")
+    first = [rows.where(F.col("stratum") == x).orderBy("_draw", key).limit(n) for x in ("zero", "few", "medium", "many")]
+    few = first[0].unionByName(first[1]).unionByName(first[2]).unionByName(first[3])
+    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("stratum").orderBy("_draw", key))).join(F.broadcast(quota), "stratum")
     place = F.when(F.col("stratum") == "zero", 0).when(F.col("stratum") == "few", 1).when(F.col("stratum") == "medium", 2).otherwise(3)
     first = F.when(F.col("_rank") <= F.col("_quota"), place).otherwise(4)
     return ranked.withColumn("_first", first).orderBy("_first", "_draw", key).limit(n).select(*df.columns, "stratum")

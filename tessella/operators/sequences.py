@@ -311,14 +311,21 @@ def trimmed(df: DataFrame, by: list[str], taxon: str, seq: str, drop: DataFrame)
 
 
 def supermatrix(df: DataFrame, locus: str, taxon: str, seq: str, gap: str = "-") -> tuple[DataFrame, DataFrame]:
-    """(taxon, sequence) of all loci one after another with gaps for missing ones, and (locus, start, end) from 1."""
+    """(taxon, sequence) of all loci one after another with gaps for missing ones, and (locus, start, end) from 1.
+
+    Only the loci that a taxon has travel; gaps are filled in between them. Of several sequences of
+    one taxon and locus the least is taken.
+    """
     lengths = df.groupBy(locus).agg(F.max(F.length(seq)).alias("length"))
-    w = Window.orderBy(locus)  # one row for each locus
+    w = Window.orderBy(locus)  # one row for each locus, which are as many as genes
     spans = lengths.select(locus, "length", F.sum("length").over(w).alias("end")).withColumn("start", F.col("end") - F.col("length") + 1)
-    grid = df.select(taxon).distinct().crossJoin(F.broadcast(spans)).join(df.select(locus, taxon, seq), [locus, taxon], "left")
-    part = F.rpad(F.coalesce(seq, F.lit("")), F.col("length"), F.lit(gap))
-    made = grid.groupBy(taxon).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", part.alias("p")))), lambda x: x["p"]), "").alias("sequence"))
-    return made, spans.select(locus, "start", "end")
+    total = spans.agg(F.max("end").alias("_total"))
+    own = df.groupBy(locus, taxon).agg(F.min(seq).alias("_seq")).join(spans, locus)
+    part = F.rpad(F.coalesce("_seq", F.lit("")), F.col("length"), F.lit(gap))
+    rows = own.groupBy(taxon).agg(F.sort_array(F.collect_list(F.struct("start", "end", part.alias("p")))).alias("_parts"))
+    ends = F.transform("_parts", lambda x, i: F.concat(F.repeat(F.lit(gap), (x["start"] - 1 - F.coalesce(F.get("_parts", i - 1)["end"], F.lit(0))).cast("int")), x["p"]))
+    whole = rows.join(F.broadcast(total)).select(taxon, F.rpad(F.array_join(ends, ""), F.col("_total").cast("int"), F.lit(gap)).alias("sequence"))  # total is one row
+    return whole, spans.select(locus, "start", "end")
 
 
 def codon_positions(positions: DataFrame, pos: str, third_only: bool = False) -> DataFrame:

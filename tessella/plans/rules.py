@@ -11,7 +11,9 @@ from tessella.functions import similarity, text
 from tessella.operators import extraction, ledger, models, nodes, places, requests, sampling, sequences, services
 from tessella.plans.catalogue import customers_placed, suppliers_placed
 from tessella.plans.registry import T, joined, query
-from tessella.sources.scratch import work_folder
+from tessella.sources import clients
+from tessella.sources.scratch import work_folder, write_text
+from tessella.sources.sequences import read_matrix
 from tessella.streaming import resume
 
 
@@ -327,8 +329,9 @@ def trim_means(s, d):
 
 @query("""SELECT s_nationkey, s.s_suppkey, round(sum(CASE WHEN x = y THEN 4 + 0.5 * (x = 'W')::INT ELSE -1.5 END)::DOUBLE, 6) AS score FROM (SELECT s_nationkey, s_suppkey, unnest([1, 2, 3, 4]) AS i, substr('WAWC', i, 1) AS x, substr(['WAWC', 'WCAA', 'AAAA'][s_suppkey % 3 + 1], i, 1) AS y FROM supplier) s GROUP BY ALL""")
 def matrix_scores(s, d):
-    """Pairs of residues scored by a matrix of the caller's."""
-    table = {min(x, y) + max(x, y): 4 + 0.5 * (x == "W") if x == y else -1.5 for x in sequences.AMINO_ACIDS for y in sequences.AMINO_ACIDS}
+    letters = sequences.AMINO_ACIDS
+    rows = "".join(x + "".join(f" {4 + 0.5 * (x == 'W') if x == y else -1.5}" for y in letters) + "\n" for x in letters)
+    table = read_matrix(s, write_text(s, f"{work_folder(s, 'matrix')}/m.txt", f"# a matrix\n  {' '.join(letters)}\n{rows}"))
     sums = {k: float(sequences.pair_scores("WAWC", other, "aa", table).sum()) for k, other in enumerate(("WAWC", "WCAA", "AAAA"))}
     return T(s, d, "supplier").select("s_nationkey", "s_suppkey", F.round(nodes.lookup(sums, (F.col("s_suppkey") % 3).cast("int")), 6).alias("score"))
 
@@ -359,3 +362,76 @@ def funding_sources(s, d):
 def new_receipts(s, d):
     new = T(s, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate")
     return ledger.numbered_after(new, ["o_orderdate", "o_orderkey"], 1000).select("o_orderkey", "receipt_seq")
+
+
+# ---- services
+
+
+def answering(service: str):
+    """A stand-in for a service: what it would answer, told by the address."""
+
+    def fetch(url, body, headers):
+        import urllib.parse as u
+
+        at = u.urlsplit(url)
+        asked = dict(u.parse_qsl(at.query))
+        if service == "taxon":
+            n = int(asked["name"].rsplit("_", 1)[1])
+            return {"matchType": "NONE"} if n % 4 == 0 else {"matchType": "EXACT", "canonicalName": asked["name"].title(), "rank": "SPECIES", "usageKey": n * 7}
+        if service == "place":
+            return {"geonames": [] if asked.get("country") != "XX" else [{"name": asked["q"], "countryCode": "XX", "lat": "1.5", "geonameId": len(asked["q"])}]}
+        if service == "compound":
+            return {"PC_Compounds": [{"id": {"id": {"cid": len(u.unquote(at.path))}}, "props": [{"value": {"sval": "H2O"}}]}]}
+        if service == "gene":
+            return {"esearchresult": {"idlist": [asked["term"]]}}
+        return [{"display_name": asked["q"], "lat": "1", "lon": "2"}] if service == "address" else {"results": [{"name": asked["query"], "wfoId": "w1"}]}
+
+    return fetch
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 4 > 0 THEN 'Nation_' || c_nationkey END AS taxon, CASE WHEN c_nationkey % 4 > 0 THEN (c_nationkey * 7)::VARCHAR END AS taxon_id, 'NATION_' || c_nationkey AS plant,
+                 'NATION_' || c_nationkey AS place, NULL::VARCHAR AS unasked, '1' AS latitude, (length('/rest/pug/compound/name/NATION_' || c_nationkey || '/JSON'))::VARCHAR AS cid, 'H2O' AS formula, 'NATION_' || c_nationkey || '[Gene Name] AND mouse[Organism]' AS gene FROM customer""")
+def service_clients(s, d):
+    rows = T(s, d, "customer").join(T(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    for name in clients.SERVICES:
+        services.register(name)(clients.lookup_of(name, answering(name)))
+    schemas = {name: clients.schema_of(name) for name in clients.SERVICES}
+    extra = {"place": {"username": "someone", "country": "XX"}, "gene": {"organism": "mouse"}}
+    config = [{"field": "n_name", "api": name, "output_field": f"x_{name}", "extra_params": extra.get(name)} for name in clients.SERVICES]
+    made = services.enriched_by(rows, [*config, {"field": "n_name", "api": "place", "output_field": "x_bare"}], schemas)
+    return made.select(
+        "c_custkey", F.col("x_taxon.matched_name").alias("taxon"), "x_taxon.taxon_id", F.col("x_plant.matched_name").alias("plant"), F.col("x_place.matched_name").alias("place"), F.col("x_bare.matched_name").alias("unasked"),
+        "x_address.latitude", "x_compound.cid", F.col("x_compound.molecular_formula").alias("formula"), F.col("x_gene.gene_id").alias("gene"),
+    )
+
+
+@query("SELECT n_nationkey, kind, CASE kind WHEN 'chat' THEN 'chat reads ' ELSE 'generate reads ' END || n_name AS text FROM nation, (VALUES ('chat'), ('generate')) AS k(kind)")
+def page_readers(s, d):
+    """Pages read by both forms of service, through stand-ins that answer what was sent."""
+
+    def generate(url, body, headers):
+        return {"response": f"{url.rsplit('/', 1)[1]} reads {body['images'][0]}"}
+
+    def chat(url, body, headers):
+        sent = body["messages"][0]["content"][0]["image_url"]["url"]
+        return {"choices": [{"message": {"content": f"{url.split('/')[-2]} reads {sent.split(',')[1]}"}}]}
+
+    rows, at = T(s, d, "nation").select("n_nationkey", F.col("n_name").alias("image")), work_folder(s, "pages-read")
+    made = None
+    for kind, fetch in (("generate", generate), ("chat", chat)):
+        one = resume.resume(rows, f"{at}/{kind}", "n_nationkey", clients.page_reader(kind, "host:1", "m", "read this", fetch), "text string", wait=0.0).select("n_nationkey", F.lit(kind).alias("kind"), "text")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+@query("SELECT p_partkey, 'said of ' || p_name AS text, length(p_name)::INT AS input_tokens FROM part")
+def model_extraction(s, d):
+    """A language model's reading of documents, through a stand-in."""
+
+    def call(row):
+        body = clients.extraction_request("m", "extract", row["p_name"])
+        held = body["messages"][0]["content"][0]["source"]["data"]
+        return clients.extraction_answer({"content": [{"text": f"said of {held}"}], "usage": {"input_tokens": len(held), "output_tokens": 1}})
+
+    made = resume.called(T(s, d, "part").select("p_partkey", "p_name"), call, "text string, input_tokens int, output_tokens int", wait=0.0, rate=1e6, tasks=2)
+    return made.where("status = 'success'").select("p_partkey", "text", "input_tokens")

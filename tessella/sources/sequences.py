@@ -102,3 +102,10 @@ def read_quality_summaries(spark: SparkSession, path: str) -> DataFrame:
     count = F.regexp_extract("value", r"^\s*[SDFM]:[^,]*,\s*(\d+)", 1).try_cast("long")
     rows = lines.select(F.element_at(F.split("path", "/"), -2).alias("genome"), kind.alias("k"), count.alias("n")).where("k <> ''")
     return rows.groupBy("genome").agg(*(F.coalesce(F.max(F.when(F.col("k") == x, F.col("n"))), F.lit(0)).alias(x.lower()) for x in "SDFM"))
+
+
+def read_matrix(spark: SparkSession, path: str) -> dict[str, float]:
+    """A substitution matrix in the usual text form (a line of letters, then a line for each), as pair_scores takes it; # starts a comment."""
+    lines = [r.value.split() for r in spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\r?\n")).alias("value")).collect() if r.value.strip() and not r.value.startswith("#")]
+    letters = lines[0]
+    return {min(a, row[0]) + max(a, row[0]): float(x) for row in lines[1:] for a, x in zip(letters, row[1:], strict=True)}

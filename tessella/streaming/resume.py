@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.shipping import ship
+from tessella.operators.numbering import in_sequence
 
 Call = Callable[[dict], dict]
 
 
-def called(df: DataFrame, call: Call, schema: str, tries: int = 3, wait: float = 1.0, pause: float = 0.0) -> DataFrame:
+def called(df: DataFrame, call: Call, schema: str, tries: int = 3, wait: float = 1.0, pause: float = 0.0, rate: float | None = None, tasks: int = 4) -> DataFrame:
     """df's rows through an external call; status is success or error.
 
-    A call that raises OSError is tried again after growing waits; pause keeps calls of one task
-    apart, so the number of tasks times 1 / pause bounds the rate.
+    A call that raises OSError is tried again after growing waits; pause keeps the calls of one task
+    apart. rate bounds the calls a second of the whole job: the rows are dealt to so many tasks
+    (tasks), each of which keeps tasks / rate seconds between its calls, retries included.
     """
+    if rate:
+        df, pause = df.repartition(tasks), max(pause, tasks / rate)
     names = [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +37,7 @@ def called(df: DataFrame, call: Call, schema: str, tries: int = 3, wait: float =
                         break
                     except OSError as e:
                         error = str(e)
-                        time.sleep(wait * 2**k)
+                        time.sleep(max(pause, wait * 2**k))
                     except ValueError as e:
                         error = str(e)
                         break
@@ -73,7 +77,6 @@ def follow(source: DataFrame, results: str, checkpoint: str, key: str, call: Cal
 
 def windows_of(df: DataFrame, order: list[str], per_batch: int = 5, per_window: int = 4) -> DataFrame:
     """Number of the batch and of the window of batches in which each row is sent."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumns({"batch": F.floor(n / per_batch).cast("int"), "send_window": F.floor(n / (per_batch * per_window)).cast("int")})
+    n = F.col("_place")
+    rows = in_sequence(df, order, "_place", 0)
+    return rows.withColumns({"batch": F.floor(n / per_batch).cast("int"), "send_window": F.floor(n / (per_batch * per_window)).cast("int")}).drop("_place")

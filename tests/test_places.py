@@ -1,10 +1,13 @@
+import difflib
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import nodes, places
+from tessella.functions import similarity
 from tessella.functions.similarity import by_levenshtein
+from tessella.operators import nodes, places
 
 SITE = "site_index int, continent string, country string, province string, district string, township string, locality string, lat double, lon double"
 RECORD = SITE.replace("site_index int", "irn string") + ", site_number string"
@@ -89,3 +92,35 @@ def test_batches(spark):
 def test_filled_columns(spark):
     df = spark.createDataFrame([(1, "", None, "x"), (2, " ", None, "")], "a int, b string, c string, d string")
     assert nodes.filled_columns(df) == ["a", "d"]
+
+
+@pytest.mark.parametrize(("native", "threshold"), [(True, 0.75), (True, 0.6), (False, 0.85), (False, 0.5)])
+def test_no_similar_pair_is_lost(spark, native, threshold):
+    r = random.Random(7)
+    names = sorted({"".join(r.choice(alphabet) for _ in range(r.randint(1, 12))) for alphabet in ("ab", "aeinst ", "abcxyzé1") for _ in range(40)} - {""})
+    names = sorted({" ".join(n.split()) for n in names} - {""} - set(similarity.ALIASES))
+    near = sorted({n[:i] + r.choice("aeé") + n[i + 1 :] for n in names for i in (r.randrange(len(n)),)} | set(names))
+    near = [n for n in near if n.strip() == n]
+    a, b = (spark.createDataFrame([(n,) for n in x], "name string") for x in (names, near))
+    got = {(x.left_name, x.right_name) for x in similarity.similar_names(a, b, threshold, native=native).collect()}
+
+    def ratio(x, y):
+        if native:
+            row = list(range(len(y) + 1))
+            for i, c in enumerate(x):
+                row, old = [i + 1], row
+                for j, e in enumerate(y):
+                    row.append(min(row[-1] + 1, old[j + 1] + 1, old[j] + (c != e)))
+            return 1 - row[-1] / max(len(x), len(y))
+        return 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+
+    assert got == {(x, y) for x in names for y in near if ratio(x, y) >= threshold}
+
+
+def test_numbers_in_sequence(spark):
+    from tessella.operators.numbering import in_sequence
+
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "id").repartition(7)
+    got = {r.k: r.n for r in in_sequence(rows, ["k"], "n", 5).collect()}
+    assert got == {k: k + 5 for k in range(1000)}
+    assert in_sequence(rows.limit(0), ["k"], "n").count() == 0

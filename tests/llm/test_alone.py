@@ -1,0 +1,8 @@
+"""Operators that start Python workers work as the first one of an application."""
+
+import pytest
+
+
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op4_warc", "op6_benchmark_tiling", "op8_url_rules", "op9_byte_bpe", "op10_token_counts"])
+def test_query_alone(alone, name):
+    alone(name)

@@ -1,6 +1,7 @@
 """Monte-Carlo scores of sequences against slow direct versions with the same seeds."""
 
 import inspect
+import math
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessella.functions.shipping import ship
-from tessella.operators import sequences
+from tessella.operators import models, sequences
 
 PAIR = "locus string, a string, b string, seq_a string, seq_b string"
 
@@ -102,3 +103,54 @@ def test_amino_acids_by_one_threshold(spark):
         assert {(x.a, x.b): x.scores for x in got.collect()} == expected
     other = limits.selectExpr("locus", "1000D AS threshold")
     assert all(v < 0 for x in sequences.resampled_scores(pairs, "locus", kind="aa", thresholds=other).collect() for v in x.scores)
+
+
+def path_lengths(newick):
+    """Distances between the leaves of a tree with branch lengths, walked by hand."""
+    text, at = newick.rstrip(";"), 0
+    pairs = {}
+
+    def node():
+        nonlocal at
+        if text[at] != "(":
+            end = next(i for i in range(at, len(text) + 1) if i == len(text) or text[i] in ",():")
+            name, at = text[at:end], end
+            return {name: 0.0}
+        children = []
+        while text[at] in "(,":
+            at += 1
+            own, length = node(), 0.0
+            if at < len(text) and text[at] == ":":
+                end = next(i for i in range(at + 1, len(text) + 1) if i == len(text) or text[i] in ",()")
+                length, at = float(text[at + 1 : end]), end
+            children.append({k: v + length for k, v in own.items()})
+        at += 1
+        for i, a in enumerate(children):
+            for b in children[i + 1 :]:
+                pairs.update({frozenset((x, y)): dx + dy for x, dx in a.items() for y, dy in b.items()})
+        return {k: v for c in children for k, v in c.items()}
+
+    node()
+    return pairs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_give_additive_distances_back(spark, seed):
+    r = random.Random(seed)
+    trees = [f"t{i}" for i in range(7)]
+    while len(trees) > 2:
+        a, b = r.sample(trees, 2)
+        trees = [t for t in trees if t not in (a, b)] + [f"({a}:{r.randint(1, 9)},{b}:{r.randint(1, 9)})"]
+    given = path_lengths(f"({trees[0]}:3,{trees[1]}:4);")
+    rows = [(1, *sorted(pair), float(d)) for pair, d in given.items()]
+    made = sequences.trees(spark.createDataFrame(rows, "locus long, a string, b string, distance double"), "locus").first().newick
+    back = path_lengths(made)
+    assert back.keys() == given.keys() and all(abs(back[k] - given[k]) < 1e-4 for k in given)
+
+
+def test_tail_of_the_ratio_tests(spark):
+    rows = [(i, m, -100.0 + i * 0.7 * (m != "A")) for i in range(12) for m in ("A", "A+J")]
+    made = models.ratio_tests(spark.createDataFrame(rows, "by long, model string, lnl double"), ["by"]).collect()
+    assert len(made) == 12
+    for x in made:
+        assert abs(x.statistic - 1.4 * x.by) < 1e-9 and abs(x.p - math.erfc(math.sqrt(x.statistic / 2))) < 1e-12 and x.significant == (x.p < 0.05)

@@ -12,6 +12,10 @@ CAPTION = r"(?i)^[\s>*_-]*(?:figs?|figure|plate|pl)\.?\s*[\dIVXLCM]+"
 GROUNDING = r"<\|ref\|>([^<]+?)<\|/ref\|>\s*<\|det\|>\[\[([^\]]+)\]\]<\|/det\|>"
 PLAIN_REFERENCE = r"<\|ref\|>[^<]*?<\|/ref\|>\s*<\|det\|>\[\[[^\]]+\]\]<\|/det\|>"
 LINE_GROUNDING = r"(?m)^[a-z_]+\[\[[\d,\s\[\]]+\]\]\n?"
+DOI = r"(10\.\d{4,}/[^\s]+)"
+FRONT_MATTER = r"\A\s*---\s*\n(.*?)\n---\s*\n"
+#: A garbled text has more replacement characters than this, or is longer than this and has a larger share of single letters among its words.
+MOST_REPLACED, LONGER_THAN, SINGLE_LETTERS = 5, 200, 0.4
 
 
 def or_blank(c: Column) -> Column:
@@ -53,7 +57,7 @@ def identifier(c: Column) -> Column:
 
 
 def doi(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(10\.\d{4,}/[^\s]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, DOI, 1), F.lit(""))
 
 
 def tagged_json(c: Column, tag: str = "output") -> Column:
@@ -67,11 +71,11 @@ def tagged_text(c: Column, tag: str = "analysis") -> Column:
 
 def front_matter(c: Column) -> Column:
     """Struct of the fields in a leading block between lines of three hyphens, and the body behind it."""
-    block = F.regexp_extract(or_blank(c), r"(?s)\A\s*---\s*\n(.*?)\n---\s*\n", 1)
+    block = F.regexp_extract(or_blank(c), f"(?s){FRONT_MATTER}", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
     last = F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["key"] == x["key"])))
-    return F.struct(last.alias("fields"), F.regexp_replace(or_blank(c), r"(?s)\A\s*---\s*\n.*?\n---\s*\n", "").alias("body"))
+    return F.struct(last.alias("fields"), F.regexp_replace(or_blank(c), f"(?s){FRONT_MATTER}", "").alias("body"))
 
 
 def without_grounding(c: Column) -> Column:
@@ -123,7 +127,7 @@ def is_garbled(text: Column) -> Column:
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     single = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}$")))
     bad = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    return (bad > 5) | ((F.length(t) > 200) & (single / F.greatest(F.lit(1), F.size(words)) > 0.4))
+    return (bad > MOST_REPLACED) | ((F.length(t) > LONGER_THAN) & (single / F.greatest(F.lit(1), F.size(words)) > SINGLE_LETTERS))
 
 
 def thousands(c: Column) -> Column:

@@ -185,11 +185,28 @@ class MergeTransducer:
         return out + self.end(state)
 
 
+def utf8_machine() -> list[bytes]:
+    """For each state the next one by byte: 0 between characters, 1-3 so many bytes to come, 4-7 the second byte is restricted, 8 no character."""
+    ranges = [
+        (0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE0, 0xE0, 4), (0, 0xE1, 0xEF, 2), (0, 0xED, 0xED, 5), (0, 0xF0, 0xF0, 6), (0, 0xF1, 0xF3, 3), (0, 0xF4, 0xF4, 7),
+        (1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2),
+    ]
+    table = [bytearray([8] * 256) for _ in range(9)]
+    for state, low, high, then in ranges:
+        for byte in range(low, high + 1):
+            table[state][byte] = then
+    return [bytes(row) for row in table]
+
+
 class Utf8Stream:
-    """Decodes UTF-8 bytes that come in parts cut anywhere: an incomplete character at a part's end is held back."""
+    """Decodes UTF-8 bytes that come in parts cut anywhere.
+
+    The state between two parts is that of the machine above; bytes of a character that it has
+    begun and not ended are held back. Only a part's last bytes can leave it within a character, so
+    it is run from the last byte there that may begin one.
+    """
 
-    #: Length of a character by its first byte's upper five bits; 0 within a character.
-    LENGTH = [1] * 16 + [0] * 8 + [2] * 4 + [3] * 2 + [4, 4]
+    NEXT = utf8_machine()
 
     def __init__(self) -> None:
         self.held = b""
@@ -198,9 +215,11 @@ class Utf8Stream:
         data = self.held + part
         cut = len(data)
         for back in range(1, min(3, cut) + 1):
-            length = self.LENGTH[data[cut - back] >> 3]
-            if length:
-                if length > back:
+            if data[cut - back] >= 0xC0:
+                state = 0
+                for byte in data[cut - back :]:
+                    state = self.NEXT[state][byte]
+                if 0 < state < 8:
                     cut -= back
                 break
         self.held = data[cut:]

@@ -14,7 +14,7 @@ def test_stages(spark, docs, tmp_path):
     item = " ".join(f"bench{k}" for k in range(30))
     clean, near = words("clean", 120), words("near", 150)
     rows = [(1, clean), (2, near), (3, near.replace("near7x1 ", "other ")), (4, words("lead", 80) + " " + item), (5, words("key", 90) + " token: abcdefgh1234"), (6, "too short"), (7, None), (8, words("sym", 60).replace(" ", " $$$ %%% &&& ")), (2, near), (None, words("noid", 70)), (9, clean)]
-    table = docs(rows, extra=["kept", "leaks", "found", "n", "_rest"])
+    table = docs(rows, extra=["kept", "leaks", "found", "n", "_rest", "a.b", "c0"])
     table.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in (1, 2, 5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -69,6 +69,12 @@ def test_utf8_stream_holds_back_incomplete_characters():
         assert s.feed(data[:cut]) + s.feed(data[cut:]) + s.finish() == "aé日🙂"
     s = byte_bpe.Utf8Stream()
     assert s.feed(b"ab\xe6\x97") == "ab" and s.finish() == "�"
+    r = random.Random(6)
+    for _ in range(3000):  # any bytes, cut anywhere, as the library decodes them whole
+        data = bytes(r.choice([0x41, 0x80, 0x9F, 0xA0, 0xBF, 0xC1, 0xC3, 0xE0, 0xE6, 0xED, 0xF0, 0xF3, 0xF4, 0xF5, 0xFF]) for _ in range(r.randint(0, 9)))
+        cut = r.randint(0, len(data))
+        s = byte_bpe.Utf8Stream()
+        assert s.feed(data[:cut]) + s.feed(data[cut:]) + s.finish() == data.decode("utf-8", "replace")
 
 
 def test_columns_and_nulls(spark, docs):

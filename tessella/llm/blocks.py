@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.runtime import shuffle_width, work_folder
+from tessella.llm.runtime import remove, shuffle_width, work_folder
 
 BLOCK_BYTES = 6 << 20
 #: Stands for a null doc_id, which so counts as larger than all others.
@@ -84,11 +84,15 @@ class StoredBlocks:
         each = max(1, -(-total // (tasks * block_bytes)))
         self.owners = max(self.width, tasks * each)
         block = F.spark_partition_id() * each + F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(each)).cast("int")
-        name, folder = f"blocks_{uuid.uuid4().hex}", work_folder(spark, "blocks")
-        docs.withColumn("block", block).write.bucketBy(self.width, "block").option("path", folder).option("compression", "zstd").saveAsTable(name)
+        name, self.folder = f"blocks_{uuid.uuid4().hex}", work_folder(spark, "blocks")
+        docs.withColumn("block", block).write.bucketBy(self.width, "block").option("path", self.folder).option("compression", "zstd").saveAsTable(name)
         self.rows = spark.table(name)
         self.rows.schema  # noqa: B018  resolved here: the files stay when the catalog's entry goes
         spark.sql(f"DROP TABLE {name}")
 
     each = Blocks.each
     answer = Blocks.answer
+
+    def drop(self) -> None:
+        """Remove the table, when nothing reads it any more."""
+        remove(self.rows.sparkSession, self.folder)

@@ -12,14 +12,21 @@ Which rows meet which blocks is found without comparing all pairs, and without l
 2. Shingles are ordered by their document frequency, rare ones first. If two documents link, they
    share one of the first n - ceil(0.8 n) + 1 shingles of both, at places behind which enough are
    left. First one document for each such shingle and group from step 1 meets those of the other
-   groups, which joins most groups that belong together; then all documents that share such a
-   shingle and are still in different groups, and whose sizes and places allow a link, are compared.
+   groups, which joins most groups that belong together; then the product over these first
+   columns adds up, for all documents that are still in different groups, how many they share.
+   A pair goes on only while its count and what is left behind it can reach the bound of the sizes.
+   Before a pair is made at all, the counts of its documents' shingles in FOLDS folds of the columns
+   are compared: their lesser counts add up to no less than the overlap.
 Pairs within a group are skipped: links there cannot change the components.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case. A document with
 fewer words than SHINGLE has one shingle, the whole sequence. Edge cases: a text that is null or
 without words has no shingles, links with nothing and is its own component; rows with one doc_id
-are one node; rows with a null doc_id link with nothing and have a null component.
+are one node; rows with a null doc_id link with nothing and have a null component. Texts are whole,
+however long; columns other than doc_id and text are left out; ties do not arise.
+
+Shingles are told apart by 64-bit hashes; words of more than LONG_WORD bytes are hashed by xxHash,
+as a sum of powers has known collisions there.
 """
 
 from __future__ import annotations
@@ -28,12 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.blocks import NULL_ID, StoredBlocks, grouped, mixed
 from tessella.llm.components import components
-from tessella.llm.runtime import ship, stored, table
+from tessella.llm.runtime import Tables, ship, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,6 +53,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LONG_WORD = 64
+FOLDS = 64
+FOLDED = 4000  # shingles; larger sets fill the folds too evenly to tell anything
 AT_ONCE = 1 << 18  # bytes of text hashed at once
 
 
@@ -73,6 +85,8 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     up, down = powers_up_to(len(data) + 1)
     total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)]
     word = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
     upto = np.searchsorted(start, ends_of)
     joined = word[: max(0, len(word) - SHINGLE + 1)].copy() if len(word) >= SHINGLE else word[:0].copy()
     for k in range(1, SHINGLE):
@@ -111,7 +125,7 @@ def ids_and_texts(batch) -> tuple[list[int], list[bytes]]:
 
 
 def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and least hashes of each document."""
+    """Size, least hashes and folded counts of each document."""
     seeds = [mixed(np.array([s + 1], dtype=np.uint64))[0] for s in range(SEEDS)]
     for whole in batches:
         for i in range(0, whole.num_rows, 500):
@@ -119,9 +133,10 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = ids_and_texts(b)
             sets = sets_of(texts)
             keys = [[int((mixed(h ^ s).min() ^ s).astype(np.int64)) for s in seeds] if len(h) else [] for h in sets]
+            folds = [np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=FOLDS).astype(np.int16) if 0 < len(h) <= FOLDED else None for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), b.column("block"), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "block", "n", "keys"],
+                [pa.array(ids, pa.int64()), b.column("block"), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(folds, pa.list_(pa.int16()))],
+                names=["doc_id", "block", "n", "keys", "folds"],
             )
 
 
@@ -232,8 +247,8 @@ def rare_first(owners: int):
 
 
 def some_sets(left: pa.Table, wanted: set[int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids, texts = ids_and_texts(left)
-    some = sorted((i, t) for i, t in zip(ids, texts, strict=True) if i in wanted)
+    ids, texts = ids_and_texts(left.filter(pc.is_in(left.column("doc_id"), pa.array(sorted(wanted), pa.int64()))))
+    some = sorted(zip(ids, texts, strict=True))
     return np.array([i for i, _ in some], dtype=np.int64), sets_of([t for _, t in some])
 
 
@@ -295,33 +310,43 @@ def fits(a: str, b: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """Pairs of documents of different groups that share a shingle at places behind which enough are left for a link."""
+def apart(rows: DataFrame) -> DataFrame:
+    """Pairs of rows (x, y) of different groups that share a shingle at places behind which enough are left for a link, and whose folds allow one."""
     x, y = rows.alias("x"), rows.alias("y")
     left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    enough = (100 + PERCENT) * left >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    apart = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") > F.col("y.doc_id")) & fits("x.n", "y.n") & enough
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart)
-    return pairs.select("x.doc_id", "x.block", F.col("y.doc_id").alias("other"), F.col("y.block").alias("other_block")).distinct()
+    enough = lambda overlap: (100 + PERCENT) * overlap >= PERCENT * (F.col("x.n") + F.col("y.n"))
+    folded = F.aggregate(F.zip_with("x.folds", "y.folds", lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda a, b: a + b)
+    bounds = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") > F.col("y.doc_id")) & fits("x.n", "y.n") & enough(left) & F.coalesce(enough(folded), F.lit(True))
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & bounds)
 
 
-def of_several(rows: DataFrame, name: str) -> DataFrame:
-    """Rows whose shingle more than one group has."""
-    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    return stored(rows.join(stored(several, f"{name}-shared"), "shingle", "left_semi"), name)
+def meeting(rows: DataFrame) -> DataFrame:
+    """Pairs that some shared shingle names; rows need not hold all of a document's first shingles."""
+    return apart(rows).select("x.doc_id", "x.block", F.col("y.doc_id").alias("other"), F.col("y.block").alias("other_block")).distinct()
+
+
+def product(rows: DataFrame) -> DataFrame:
+    """Pairs whose count of shared first shingles and what is left behind the last one can reach the bound; rows hold all that documents of different groups share."""
+    keys = ["doc_id", "block", "other", "other_block"]
+    met = apart(rows).select("x.doc_id", "x.block", F.col("y.doc_id").alias("other"), F.col("y.block").alias("other_block"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.place").alias("i"), F.col("y.place").alias("j"), (F.col("x.alone") & F.col("y.alone")).alias("alone"))
+    counts = met.groupBy(*keys).agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("alone").alias("alone"))
+    most = F.col("shared") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    return counts.where(~F.col("alone") | ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m")))).select(*keys)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = StoredBlocks(docs)
-    sizes = stored(blocks.rows.mapInArrow(profile, "doc_id long, block int, n long, keys array<long>"), "profiles")
+    blocks, tables = StoredBlocks(docs), Tables(spark)
+    keep, drop = tables.keep, tables.drop
+    sizes = keep(blocks.rows.mapInArrow(profile, "doc_id long, block int, n long, keys array<long>, folds array<smallint>"), "profiles")
     keyed = sizes.where(F.col("doc_id") != NULL_ID).select(F.explode("keys").alias("key"), "doc_id", "block", "n")
     heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "block", "n")).alias("head"), F.count("*").alias("times")).where("times > 1")
-    near = keyed.join(stored(heads, "heads"), "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits("n", "head.n"))
+    near = keyed.join(keep(heads, "heads"), "key").where((F.col("doc_id") != F.col("head.doc_id")) & fits("n", "head.n"))
     near = near.select("doc_id", "block", F.col("head.doc_id").alias("other"), F.col("head.block").alias("other_block")).distinct()
-    groups = components(stored(verified(blocks, near), "near"))
+    groups = components(keep(verified(blocks, keep(near, "near")), "links"), tables, "near-groups")
+    drop("heads", "near", "links")
 
     labels = sizes.select("doc_id", "block").join(groups.withColumnRenamed("node", "doc_id"), "doc_id").distinct()
     labels = labels.select("block", F.lit(1).alias("kind"), F.col("doc_id").alias("owner"), F.col("component").alias("other"), F.lit(None).cast("binary").alias("data"))
@@ -329,15 +354,31 @@ def join_documents(docs: DataFrame) -> DataFrame:
     told = asked.groupBy("owner").applyInArrow(tell_frequency, REPLY)
     rare = blocks.answer(told.unionByName(labels), rare_first(blocks.owners), "shingle long, doc_id long, block int, n long, label long, place long")
     # Tables between the steps: sides of a join that are read from them can be split where a group of copies makes a shingle frequent.
-    rare = of_several(stored(rare, "prefixes"), "rare")
+    alone = F.count("*") == 1  # what is known of a document's set holds for one row
+    folds = sizes.where(F.col("doc_id") != NULL_ID).groupBy("doc_id").agg(F.when(alone, F.first("folds")).alias("folds"), alone.alias("alone"))
+
+    def of_several(rows: DataFrame, name: str) -> DataFrame:
+        """Rows whose shingle more than one group has."""
+        several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+        return keep(rows.join(keep(several, f"{name}-shared"), "shingle", "left_semi"), name)
 
+    rare = of_several(keep(rare, "prefixes"), "several")
+    drop("prefixes", "several-shared")
     one = rare.groupBy("shingle", "label").agg(F.min_by(F.struct("doc_id", "block", "n", "place"), F.xxhash64("shingle", "doc_id")).alias("h"))
-    linked = stored(verified(blocks, meeting(one.select("shingle", "label", "h.*"))), "met")
+    one = keep(one.select("shingle", "label", "h.*").join(folds, "doc_id", "left"), "one")
+    linked = keep(verified(blocks, keep(meeting(one), "pairs")), "linked")
     stars = lambda g: g.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = components(stars(groups).unionByName(linked))
-    rare = rare.drop("label").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
-    rare = of_several(stored(rare.withColumn("label", F.coalesce("label", "doc_id")), "labelled"), "rest")
-    groups = components(stars(groups).unionByName(verified(blocks, meeting(rare))))
+    groups = components(stars(groups).unionByName(linked), tables, "met-groups")
+    drop("one", "pairs", "linked", "near-groups")
+    rest = rare.drop("label").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+    rest = of_several(keep(rest.withColumn("label", F.coalesce("label", "doc_id")), "labelled"), "rest")
+    drop("several", "labelled", "rest-shared")
+    rest = keep(rest.join(folds, "doc_id", "left"), "folded")
+    drop("rest")
+    linked = keep(verified(blocks, keep(product(rest), "pairs")), "linked")
+    groups = components(stars(groups).unionByName(linked), tables, "groups")
+    drop("folded", "pairs", "linked", "met-groups")
+    blocks.drop()
 
     out = sizes.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     plain = lambda c: F.nullif(c, F.lit(NULL_ID))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -58,3 +59,33 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(41)] + [(100 + i, 100) for i in range(30)]
+
+
+def test_template_pages_make_pairs_in_proportion(spark, docs, monkeypatch):
+    r = random.Random(8)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(11)) for k in range(30)]
+    made = []
+    monkeypatch.setattr(jaccard, "verified", lambda blocks, pairs, old=jaccard.verified: (made.append(pairs.count()), old(blocks, pairs))[1])
+    for n in (300, 600):
+        rows = [(i, " ".join(r.sample(sentences, 8))) for i in range(n)]
+        made.clear()
+        got = jaccard.join_documents(docs(rows))
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows)
+        assert made[0] <= jaccard.SEEDS * n  # one head for each least hash
+        assert sum(made[1:]) < n / 10  # of thousands of pairs that share rare shingles
+
+
+def test_one_id_of_two_texts_of_equal_size(spark, docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a + " z"), (3, b + " y"), (4, c), (5, "w" * 3000 + " a b c d e"), (6, "w" * 3000 + " a b c d e")]
+    got = jaccard.join_documents(docs(rows, extra=["a.b", "folds"]))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows)
+
+
+def test_nothing_is_left_behind_but_what_the_result_reads(spark, docs):
+    from tessella.llm.runtime import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    jaccard.join_documents(docs([(i, f"one two three four five six {i % 3}") for i in range(30)])).count()
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["groups", "profiles"]

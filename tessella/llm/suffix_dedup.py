@@ -9,22 +9,26 @@ removed; matches never cross documents and are judged on the input.
 2. A route that very many documents share is split: its windows are routed one by one by their
    own hash, each once from a block, so no group of copies or common passage meets in one task.
 3. The owner of a bucket takes the distinct segments with the least id that has each, and builds
-   the collection BWT with longest common prefixes of those that share their route with another
-   (segments of different routes have no window in common): in each round, every segment that is long
-   enough inserts its next symbol from the right. The two sequences lie in files that each round
-   reads and writes from front to back. Runs of common prefixes of WINDOW or more are equal
-   windows; their least id goes back to the blocks.
+   the collection BWT with longest common prefixes of them all: in each round, every segment that
+   is long enough inserts its next symbol from the right, and the two sequences are read and written
+   from front to back. A bucket's segments are in collections of about COLLECTION_BYTES, those of
+   one route in one. Runs of common prefixes of WINDOW or more are equal windows; their least id
+   goes back to the blocks. So the collections decide every window that two documents share.
 4. A block marks the windows whose least id is smaller than the document's.
 
+The sequences of a collection are bounded by its size, so they stay in memory: a file for each on
+the shared store would be thousands of small ones a task, and executors' own folders are not used.
+
 Edge cases: a null text counts as empty; texts shorter than WINDOW have no windows; rows with the
-same doc_id never remove each other's bytes; a null doc_id counts as larger than all others.
+same doc_id never remove each other's bytes, and repeated rows are each returned; a null doc_id
+counts as larger than all others; a text above a block's size is a block of its own, whole; columns
+other than doc_id and text are left out; of equal windows the least doc_id keeps its own, so ties
+do not arise.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import zlib
 
 import numpy as np
@@ -37,9 +41,9 @@ from tessella.llm.runtime import ship, table
 
 WINDOW = 50
 GRAM = 20
-LONGEST_RUN = 64  # windows in a segment
+LONGEST_RUN = WINDOW - GRAM + 1  # windows in a segment: as many as one least hash can rule, so few texts prolong the rounds
 SHARED_BY = 1500  # documents from which on a route is split
-COLLECTION_BYTES = 1 << 20
+COLLECTION_BYTES = 1 << 19
 AT_ONCE = 1 << 15  # positions hashed at once: their arrays stay in a core's cache
 
 
@@ -224,18 +228,18 @@ def send(owners: int, buckets: int):
     return step
 
 
-def collection_bwt(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
+def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """BWT (0 for the end mark, else byte + 1) and LCP of all suffixes of a collection, end marks in the order of the texts.
 
     Round j inserts the suffixes of j + 1 symbols. A suffix that was inserted in the round before
     at p is preceded by c = BWT[p]; the new suffix comes where the stable order of the BWT by
     symbol has p. Its common prefix with the neighbour before it is one more than the least LCP
-    between the two neighbours' own places; so is that of the neighbour behind it.
+    between the two neighbours' own places; so is that of the neighbour behind it. Each round reads
+    the two sequences from front to back and writes them anew.
     """
     m = len(texts)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data, ends = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(sizes)
-    at_bwt, at_lcp = os.path.join(folder, "bwt"), os.path.join(folder, "lcp")
 
     def symbol(who: np.ndarray, j: int) -> np.ndarray:
         """The j-th symbol from the right, or the end mark."""
@@ -245,17 +249,15 @@ def collection_bwt(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndar
         return out
 
     who = np.arange(m)
-    symbol(who, 0).tofile(at_bwt)
-    np.zeros(m, dtype=np.uint8).tofile(at_lcp)
+    bwt, lcp = symbol(who, 0), np.zeros(m, dtype=np.uint8)
     place = np.arange(m)
     for j in range(int(sizes.max(initial=0))):
-        bwt, lcp = np.fromfile(at_bwt, dtype=np.uint8), np.fromfile(at_lcp, dtype=np.uint8)
         n = len(bwt)
         still = sizes[who] > j
         who, place = who[still], place[still]
         counts = np.bincount(bwt, minlength=256)
         marks = int(counts[0])  # texts that are complete: their end marks are not inserted again
-        order = np.argsort(bwt, kind="stable")[marks:].astype(np.int32)
+        order = np.argsort(bwt, kind="stable")[marks:]
         fresh = np.zeros(n, dtype=bool)
         fresh[place] = True
         fresh = fresh[order]
@@ -266,15 +268,13 @@ def collection_bwt(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndar
         touched[first] = False
         # Least LCP between each touched place and the one before it in this order, taken from right to left.
         k = np.flatnonzero(touched)
-        here = order[k]
-        behind = np.full(n, -1, dtype=np.int32)
-        behind[here] = order[k - 1]
-        right = np.flatnonzero(behind >= 0)[::-1]
-        value = np.empty(n, dtype=np.uint8)
-        if len(right):
-            bounds = np.empty(2 * len(right), dtype=np.int64)
-            bounds[0::2], bounds[1::2] = behind[right] + 1, right + 1
-            value[right] = np.minimum.reduceat(np.r_[lcp, np.uint8(0)], bounds)[0::2] + np.uint8(1)
+        here, behind = order[k], order[k - 1]
+        turn = np.argsort(here)[::-1]
+        value = np.empty(len(k), dtype=np.uint8)
+        if len(k):
+            bounds = np.empty(2 * len(k), dtype=np.int64)
+            bounds[0::2], bounds[1::2] = behind[turn] + 1, here[turn] + 1
+            value[turn] = np.minimum.reduceat(np.r_[lcp, np.uint8(0)], bounds)[0::2] + np.uint8(1)
         # Place all in the new order: end marks first, then one suffix for each symbol that has been read.
         total = m + len(order)
         old = np.ones(total, dtype=bool)
@@ -286,18 +286,16 @@ def collection_bwt(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndar
         number[place] = np.arange(len(place), dtype=np.int32)
         place[number[order[added]]] = m + added
         next_bwt[place] = symbol(who, j + 1)
-        next_lcp[m + k] = value[here]
+        next_lcp[m + k] = value
         # The first suffix of a symbol has nothing before it; one that was first until now is touched and so has been set.
         next_lcp[m + first] = 0
-        next_bwt.tofile(at_bwt)
-        next_lcp.tofile(at_lcp)
-    return np.fromfile(at_bwt, dtype=np.uint8), np.fromfile(at_lcp, dtype=np.uint8)
+        bwt, lcp = next_bwt, next_lcp
+    return bwt, lcp
 
 
 def least_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each text, the least id that each of its windows has in the collection."""
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = collection_bwt(texts, folder)
+    bwt, lcp = collection_bwt(texts)
     m, sizes = len(texts), np.array([len(t) for t in texts], dtype=np.int64)
     order = np.argsort(bwt, kind="stable")
     marks = len(bwt) - np.count_nonzero(bwt)
@@ -321,25 +319,6 @@ def least_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list
     return np.split(out, at[1:-1])
 
 
-def least_of_windows(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """As least_ids, with windows left out of the collection that a hash shows to be the only one of their kind."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    windows = sizes - WINDOW + 1
-    owner = np.repeat(np.arange(len(texts)), windows)
-    at = np.arange(len(owner)) + owner * (WINDOW - 1)
-    joined = b"".join(texts)
-    _, kind, times = np.unique(gram_hashes(np.frombuffer(joined, dtype=np.uint8), WINDOW)[at], return_inverse=True, return_counts=True)
-    twin = times[kind] > 1
-    out = ids[owner]
-    spots = np.flatnonzero(twin)
-    if len(spots):
-        cut = np.flatnonzero(np.r_[True, (np.diff(spots) != 1) | (np.diff(owner[spots]) != 0)])
-        low, high = at[spots[cut]], at[spots[np.r_[cut[1:] - 1, len(spots) - 1]]] + WINDOW
-        runs = [joined[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-        out[spots] = np.concatenate(least_ids(runs, ids[owner[spots[cut]]]))
-    return np.split(out, np.cumsum(windows)[:-1])
-
-
 def reply(least: np.ndarray, varied: np.ndarray, windows: list[np.ndarray]) -> bytes:
     """One id for each segment; where it varies, one for each of its windows behind them all."""
     return zlib.compress(b"".join([np.int64(len(least)).tobytes(), least.tobytes(), varied.tobytes(), *(w.tobytes() for w in windows)]), 1)
@@ -379,24 +358,25 @@ def meet(buckets: int):
         least = np.full(len(texts), NULL_ID, dtype=np.int64)
         for mine, ids in zip(sent, table.column("least").to_pylist(), strict=True):
             np.minimum.at(least, mine, np.frombuffer(ids, dtype=np.int64))
-        # Equal windows have equal hashes, so a text alone with its hash is a collection of one: its windows have its own id.
         hashed = np.array(hashes, dtype=np.uint64)
-        _, same, times = np.unique(hashed, return_inverse=True, return_counts=True)
-        shared = times[same] > 1 if len(texts) else np.zeros(0, dtype=bool)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        # Equal windows have equal hashes, so texts of one hash go to one collection.
+        parts = max(1, -(-int(sizes.sum()) // COLLECTION_BYTES))
+        part = (mixed(hashed) % np.uint64(parts)).astype(np.int64)
         answers: dict[int, np.ndarray] = {}
-        parts = max(1, -(-int(sizes[shared].sum()) // COLLECTION_BYTES))
-        part = np.where(shared, (mixed(hashed) % np.uint64(parts)).astype(np.int64), -1)
         for p in range(parts):
             some = np.flatnonzero(part == p)
             if len(some):
-                answers |= zip(some.tolist(), least_of_windows([texts[k] for k in some.tolist()], least[some]), strict=True)
+                answers |= zip(some.tolist(), least_ids([texts[k] for k in some.tolist()], least[some]), strict=True)
+        # Most texts have one id for all their windows.
+        top = np.array([answers[k].min() for k in range(len(texts))], dtype=np.int64)
+        varied = np.array([(answers[k] != top[k]).any() for k in range(len(texts))], dtype=bool)
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int32()).combine_chunks(),
                 "kind": pa.array([1] * len(sent), pa.int32()),
                 "owner": table.column("bucket").cast(pa.int32()).combine_chunks(),
-                "data": pa.array([reply(least[mine], shared[mine], [answers[k] for k in mine[shared[mine]].tolist()]) for mine in sent], pa.binary()),
+                "data": pa.array([reply(top[mine], varied[mine], [answers[k] for k in mine[varied[mine]].tolist()]) for mine in sent], pa.binary()),
             }
         )
 

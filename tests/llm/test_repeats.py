@@ -1,6 +1,5 @@
 import hashlib
 import random
-import tempfile
 
 import pytest
 
@@ -29,8 +28,7 @@ def test_bwt_and_common_prefixes(trial):
     r = random.Random(trial)
     texts = [bytes(r.choice(b"ab" if trial % 2 else b"abcd") for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 9))]
     suffixes = sorted((([c + 1 for c in t[k:]] + [0], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1)), key=lambda x: x[:2])
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = suffix_dedup.collection_bwt(texts, folder)
+    bwt, lcp = suffix_dedup.collection_bwt(texts)
     assert bwt.tolist() == [texts[i][k - 1] + 1 if k else 0 for _, i, k in suffixes]
     for (a, _, _), (b, _, _), n in zip(suffixes, suffixes[1:], lcp.tolist()[1:], strict=False):
         own = next(x for x in range(len(a)) if x >= len(b) or a[x] != b[x] or a[x] == 0)
@@ -53,3 +51,42 @@ def test_equals_brute_force(spark, docs, monkeypatch, block_bytes, shared_by):
 
 def test_no_rows(docs):
     assert suffix_dedup.drop_repeats(docs([])).count() == 0
+
+
+def test_every_removed_window_was_decided_by_a_collection(docs, monkeypatch):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(120)
+    rows = [(1, text(90) + passage), (2, passage + text(80)), (3, text(30) + passage[10:100] + text(30)), (4, text(200)), (5, text(10) + passage)]
+    decided = set()
+
+    def spy(texts, ids, window=50, old=suffix_dedup.least_ids):
+        out = old(texts, ids, window)
+        decided.update(t[i : i + window] for t, found in zip(texts, out, strict=True) for i in range(len(found)))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "least_ids", spy)
+    import pyarrow as pa
+
+    # One block's steps in this process.
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows]), "block": pa.array([0] * len(rows), pa.int32())})
+    told = suffix_dedup.tell_shared(1500)(suffix_dedup.ask(1)(table))
+    sent = suffix_dedup.send(1, 1)(table, told)
+    answers = suffix_dedup.meet(1)(sent)
+    made = suffix_dedup.remove(1, 1, False)(table, pa.concat_tables([told, answers]))
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in made.to_pylist())
+    assert got == brute([(i, t.encode()) for i, t in rows])
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            w = t[k : k + 50].encode()
+            assert first.setdefault(w, i) == i or w in decided
+
+
+def test_a_text_above_a_blocks_size(docs, monkeypatch):
+    monkeypatch.setattr(blocks.Blocks.__init__, "__defaults__", (500,))
+    r = random.Random(3)
+    text = "".join(r.choice("abc d") for _ in range(5000))
+    rows = [(1, text[1000:3000]), (2, text), (3, text[:80])]
+    got = suffix_dedup.drop_repeats(docs(rows, extra=["n_bytes", "a.b"]))
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == brute([(d, t.encode()) for d, t in rows])

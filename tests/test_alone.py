@@ -3,6 +3,6 @@
 import pytest
 
 
-@pytest.mark.parametrize("name", ["json_repair", "nj_tree", "fuzzy_name_match", "lrt_p", "mc_pair_score", "sheet_read", "newick_tree_nodes", "service_clients", "retried_calls"])
+@pytest.mark.parametrize("name", ["json_repair", "nj_tree", "fuzzy_name_match", "sheet_read", "retried_calls"])
 def test_query_alone(alone, name):
     alone(name)

@@ -3,6 +3,6 @@
 import pytest
 
 
-@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op4_warc", "op6_benchmark_tiling", "op8_url_rules", "op9_byte_bpe", "op10_token_counts"])
+@pytest.mark.parametrize("name", ["op4_warc", "op6_benchmark_tiling", "op8_url_rules", "op9_byte_bpe"])
 def test_query_alone(alone, name):
     alone(name)

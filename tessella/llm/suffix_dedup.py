@@ -9,11 +9,13 @@ removed; matches never cross documents and are judged on the input.
 2. A route that very many documents share is split: its windows are routed one by one by their
    own hash, each once from a block, so no group of copies or common passage meets in one task.
 3. The owner of a bucket takes the distinct segments with the least id that has each, and builds
-   the collection BWT with longest common prefixes of them all: in each round, every segment that
+   the collection BWT with longest common prefixes of all that share their route: in each round, every segment that
    is long enough inserts its next symbol from the right, and the two sequences are read and written
    from front to back. A bucket's segments are in collections of about COLLECTION_BYTES, those of
    one route in one. Runs of common prefixes of WINDOW or more are equal windows; their least id
-   goes back to the blocks. So the collections decide every window that two documents share.
+   goes back to the blocks. So the collections decide every window that two different segments
+   share; a segment alone with its route is a collection of one text, whose windows all have the
+   least id that has it.
 4. A block marks the windows whose least id is smaller than the document's.
 
 The sequences of a collection are bounded by its size, so they stay in memory: a file for each on
@@ -33,6 +35,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -228,6 +231,11 @@ def send(owners: int, buckets: int):
     return step
 
 
+def by_symbol(bwt: np.ndarray) -> np.ndarray:
+    """The places of a sequence by symbol, those of one symbol in their order: Arrow counts small integers instead of comparing them."""
+    return pc.array_sort_indices(pa.array(bwt)).to_numpy(zero_copy_only=False).view(np.int64)
+
+
 def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """BWT (0 for the end mark, else byte + 1) and LCP of all suffixes of a collection, end marks in the order of the texts.
 
@@ -257,7 +265,7 @@ def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         who, place = who[still], place[still]
         counts = np.bincount(bwt, minlength=256)
         marks = int(counts[0])  # texts that are complete: their end marks are not inserted again
-        order = np.argsort(bwt, kind="stable")[marks:]
+        order = by_symbol(bwt)[marks:]
         fresh = np.zeros(n, dtype=bool)
         fresh[place] = True
         fresh = fresh[order]
@@ -297,7 +305,7 @@ def least_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list
     """For each text, the least id that each of its windows has in the collection."""
     bwt, lcp = collection_bwt(texts)
     m, sizes = len(texts), np.array([len(t) for t in texts], dtype=np.int64)
-    order = np.argsort(bwt, kind="stable")
+    order = by_symbol(bwt)
     marks = len(bwt) - np.count_nonzero(bwt)
     step = np.empty(len(bwt), dtype=np.int32)
     step[order] = np.arange(len(bwt), dtype=np.int32) - np.int32(marks - m)
@@ -360,10 +368,12 @@ def meet(buckets: int):
             np.minimum.at(least, mine, np.frombuffer(ids, dtype=np.int64))
         hashed = np.array(hashes, dtype=np.uint64)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        # Equal windows have equal hashes, so texts of one hash go to one collection.
-        parts = max(1, -(-int(sizes.sum()) // COLLECTION_BYTES))
-        part = (mixed(hashed) % np.uint64(parts)).astype(np.int64)
-        answers: dict[int, np.ndarray] = {}
+        # Equal windows have equal hashes, so texts of one hash go to one collection; a text alone with its hash shares no window with another.
+        _, same, times = np.unique(hashed, return_inverse=True, return_counts=True)
+        shared = times[same] > 1 if len(texts) else np.zeros(0, dtype=bool)
+        parts = max(1, -(-int(sizes[shared].sum()) // COLLECTION_BYTES))
+        part = np.where(shared, (mixed(hashed) % np.uint64(parts)).astype(np.int64), -1)
+        answers = {k: least[k : k + 1] for k in np.flatnonzero(~shared).tolist()}
         for p in range(parts):
             some = np.flatnonzero(part == p)
             if len(some):

@@ -2,42 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.shipping import ship
+from tessella.sources.scratch import remove, shared_folder, stored, work_folder
 
-__all__ = ["Tables", "numbered", "pack", "quoted", "shared_folder", "ship", "shuffle_width", "stored", "table", "unpack", "work_folder"]
-
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (in tests, in one process) one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="tessella-shared-"))
-        at = f"file://{_own_folder[0]}"
-    return at.rstrip("/")
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run of an operator."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again with the same schema."""
-    spark = df.sparkSession
-    at = work_folder(spark, name)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+__all__ = ["Tables", "numbered", "pack", "quoted", "remove", "shared_folder", "ship", "shuffle_width", "stored", "table", "unpack", "work_folder"]
 
 
 class Tables:
@@ -59,11 +30,6 @@ class Tables:
             remove(self.spark, self.at.pop(n))
 
 
-def remove(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def quoted(name: str) -> str:
     """A column's name as it may be given to F.col, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

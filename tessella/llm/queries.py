@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.byte_bpe import op9
+from tessella.llm.centroids import op11, op11_sql
 from tessella.llm.chat import OP7_SQL, op7
+from tessella.llm.codebooks import op12, op12_sql
+from tessella.llm.hamming import OP13_SQL, op13
 from tessella.llm.jaccard import OP5_SQL, op5
 from tessella.llm.piece_counts import op10
 from tessella.llm.quality import op2
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8,
         "op9_byte_bpe": op9,
         "op10_token_counts": op10,
+        "op11_centroid_clusters": op11,
+        "op12_vector_codes": op12,
+        "op13_embedding_duplicates": op13,
     }
 
 
@@ -41,4 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard": OP5_SQL,
         "op7_chat_format": OP7_SQL,
         "op8_url_rules": OP8_SQL,
+        "op11_centroid_clusters": op11_sql(),
+        "op12_vector_codes": op12_sql(),
+        "op13_embedding_duplicates": OP13_SQL,
     }

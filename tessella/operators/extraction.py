@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.json_repair import try_json
 from tessella.functions.shipping import ship
 from tessella.functions.text import or_blank
+from tessella.operators.variants import Schema, as_variant
 
 
 def triage_status(title: Column, abstract: Column) -> Column:
@@ -48,34 +49,6 @@ def prompt(sections: list[tuple[str, Column | None]]) -> Column:
     return F.concat_ws("\n\n", *parts)
 
 
-def try_json(text: str | None) -> tuple[object, bool]:
-    """The value and whether the text had to be mended; (None, False) if it can't be read."""
-    if text is None:
-        return None, False
-    try:
-        return json.loads(text), False
-    except ValueError:
-        pass
-    mended = re.sub(r"^\s*```(?:json)?|```\s*$", "", text).strip()
-    mended = re.sub(r"\bNone\b", "null", re.sub(r"\bTrue\b", "true", re.sub(r"\bFalse\b", "false", mended)))
-    mended = re.sub(r",\s*([}\]])", r"\1", mended)
-    if '"' not in mended:
-        mended = mended.replace("'", '"')
-    mended = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', mended)
-    stack = []
-    for c in re.sub(r'"(?:\\.|[^"\\])*"', "", mended):
-        if c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif stack and c == stack[-1]:
-            stack.pop()
-    if mended.count('"') % 2:
-        mended += '"'
-    try:
-        return json.loads(mended + "".join(reversed(stack))), True
-    except ValueError:
-        return None, False
-
-
 @F.pandas_udf(T.StructType([T.StructField("data", T.StringType()), T.StructField("repaired", T.BooleanType())]))
 def _repaired(texts: pd.Series) -> pd.DataFrame:
     rows = [try_json(t) for t in texts]
@@ -92,38 +65,15 @@ def schema_type(spec: dict) -> T.DataType:
     """The Spark type of a JSON schema; a union of types is kept as text."""
     kind = spec.get("type", "string")
     if kind == "object" and spec.get("properties"):
-        return T.StructType([T.StructField(n, schema_type(s)) for n, s in spec["properties"].items()])
+        return T.StructType([T.StructField(n, schema_type(s)) for n, s in spec["properties"].items() if isinstance(s, dict)])
     if kind == "array":
         return T.ArrayType(schema_type(spec.get("items", {})))
     return {"boolean": T.BooleanType(), "number": T.DoubleType(), "integer": T.LongType()}.get(kind if isinstance(kind, str) else "", T.StringType())
 
 
-def schema_error(data: Column, spec: dict, path: str = "$") -> Column:
-    """The first fault of a JSON text under a schema (type, required, enum), or null."""
-    tests: list[Column] = []
-    kinds = {"object": "{", "array": "["}
-    value = F.get_json_object(data, path)
-
-    def test(bad: Column, text: str) -> None:
-        tests.append(F.when(bad, F.lit(f"{path}: {text}")))
-
-    kind = spec.get("type")
-    first = F.substring(F.ltrim(value), 1, 1)
-    if isinstance(kind, str) and kind in kinds:
-        test(value.isNotNull() & (first != kinds[kind]), f"is not of type {kind}")
-    elif kind == "boolean":
-        test(value.isNotNull() & ~value.isin("true", "false"), "is not of type boolean")
-    elif kind == "integer":
-        test(value.isNotNull() & ~value.rlike(r"^-?\d+$"), "is not of type integer")
-    elif kind == "number":
-        test(value.isNotNull() & value.try_cast("double").isNull(), "is not of type number")
-    if "enum" in spec:
-        test(value.isNotNull() & ~value.isin(*map(str, spec["enum"])), "is not one of the allowed values")
-    for name in spec.get("required", ()):
-        tests.append(F.when(value.isNotNull() & F.get_json_object(data, f"{path}.{name}").isNull(), F.lit(f"{path}: '{name}' is required")))
-    for name, inner in spec.get("properties", {}).items():
-        tests.append(schema_error(data, inner, f"{path}.{name}"))
-    return F.coalesce(*tests) if tests else F.lit(None).cast("string")
+def schema_error(data: Column, spec: dict) -> Column:
+    """The first fault of a JSON text under a schema (variants.Schema), or null; null for a null text."""
+    return F.when(data.isNotNull(), F.get(Schema(spec).faults(as_variant(data)), F.lit(0)))
 
 
 def cleaned_status(status: Column, valid: Column, mended: Column, error: Column, strict: bool = False) -> Column:

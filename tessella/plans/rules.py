@@ -243,15 +243,6 @@ def retried_calls(s, d):
     return made.select("c_custkey", "status", "error")
 
 
-@query("SELECT c_custkey, 'a' || c_custkey AS answer FROM customer WHERE c_custkey % 5 NOT IN (0, 2)")
-def followed_calls(s, d):
-    at, given = work_folder(s, "results"), work_folder(s, "arrivals")
-    T(s, d, "customer").select("c_custkey").write.parquet(given)
-    source = s.readStream.schema("c_custkey long").parquet(given)
-    resume.follow(source, at, work_folder(s, "checkpoint"), "c_custkey", flaky({}), "answer string, attempts int", wait=0.0).awaitTermination()
-    return s.read.parquet(at).select("c_custkey", "answer")
-
-
 @query("SELECT c_custkey, ((k - 1) // 5)::INT AS batch, ((k - 1) // 20)::INT AS send_window FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer)")
 def send_windows(s, d):
     return resume.windows_of(T(s, d, "customer").select("c_custkey"), ["c_custkey"])

@@ -66,15 +66,6 @@ def known(spark: SparkSession, results: str) -> DataFrame | None:
     return spark.read.parquet(results) if fs.exists(path) and fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{results}/*.parquet")) else None
 
 
-def follow(source: DataFrame, results: str, checkpoint: str, key: str, call: Call, schema: str, **options):
-    """resume() on each micro-batch of a stream, all that is there at once."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        resume(batch.dropDuplicates([key]), results, key, call, schema, **options)
-
-    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windows_of(df: DataFrame, order: list[str], per_batch: int = 5, per_window: int = 4) -> DataFrame:
     """Number of the batch and of the window of batches in which each row is sent."""
     n = F.col("_place")

@@ -229,12 +229,14 @@ def test_resume_skips_successes_and_retries_failures(spark, tmp_path):
 
 
 def test_stream_of_work(spark, tmp_path):
-    ship(spark)
+    from tessella.streaming import calls
+
+    calls.store_settings(spark)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for part in ([1, 2], [2, 3]):
         spark.createDataFrame([(i,) for i in part], "id long").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("id long").parquet(source)
-        resume.follow(stream, out, str(tmp_path / "at"), "id", lambda r: {"answer": str(r["id"])}, "answer string").awaitTermination()
+        calls.follow(stream, out, str(tmp_path / "at"), "id", lambda r: {"answer": str(r["id"])}, "answer string").awaitTermination()
         assert spark.read.parquet(out).groupBy("id").count().where("count > 1").count() == 0
     assert spark.read.parquet(out).count() == 3
 

@@ -1,6 +1,7 @@
 """Documents in blocks that keep their texts at home while small messages travel.
 
-A block is a group of documents of about BLOCK_BYTES, dealt by a hash of the row. Steps that need
+A block is a group of documents of about BLOCK_BYTES, dealt by a hash of the row and of the task that
+reads it, so that rows equal in all (many without an id, say) are spread as well. Steps that need
 knowledge of the whole corpus send messages from each block to the owners of keys and get replies
 back by block; a block then works its texts through once more, with the replies. The exchange that
 deals the texts is one and the same in each step of a plan, so Spark runs it once.
@@ -32,7 +33,7 @@ class Blocks:
         self.count = max(1, -(-total // block_bytes))
         self.owners = max(self.width, self.count)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(self.count)).cast("int")
+        block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(self.count)).cast("int")
         self.rows = rows.withColumn("block", block).repartition(self.width, "block")
 
     def each(self, step: Callable, schema: str) -> DataFrame:
@@ -83,7 +84,8 @@ class StoredBlocks:
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         each = max(1, -(-total // (tasks * block_bytes)))
         self.owners = max(self.width, tasks * each)
-        block = F.spark_partition_id() * each + F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(each)).cast("int")
+        # The table is written once, so a running number deals rows that are equal in all.
+        block = F.spark_partition_id() * each + F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(each)).cast("int")
         name, self.folder = f"blocks_{uuid.uuid4().hex}", work_folder(spark, "blocks")
         docs.withColumn("block", block).write.bucketBy(self.width, "block").option("path", self.folder).option("compression", "zstd").saveAsTable(name)
         self.rows = spark.table(name)

@@ -139,4 +139,4 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality verdict on every whole document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs, table(spark, sf_dir, "labels")).drop("text")
+    return judge(docs, table(spark, sf_dir, "labels")).select("doc_id", *BASE, "kept", "llr")

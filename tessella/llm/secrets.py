@@ -1,7 +1,8 @@
 """Secret scans with a ledger of blobs.
 
 Every version of every text is addressed by its SHA-256. A ledger in the shared folder holds one
-row for each (blob, rule version) that has been scanned, with what was found. A run scans only
+row for each (blob, rule version) that has been scanned, with what was found; without a name of
+its own a version is the digest of its rules, so that other rules never meet old findings. A run scans only
 pairs that the ledger lacks, each once however many paths hold the blob, appends them, and joins
 the ledger back to all paths.
 
@@ -19,6 +20,7 @@ columns named blob or found are replaced, all others pass through.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,13 +46,17 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]{12,}", 0, 16),
     Rule("hex", "[0-9a-f]{32,}", 0, 32),
 )
-VERSION = "base-1"
 BROADCAST_BYTES = 32 << 20
 ADDRESS_BYTES, FINDING_BYTES = 128, 64  # about what a row of addresses or a finding takes
 MANY = 256  # findings in a text
 FOUND = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A name that changes with the rules."""
+    return "rules-" + hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once for each row."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -118,9 +124,9 @@ def addressed(versions: DataFrame, text: str) -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.encode(body, "UTF-8"), 256))
 
 
-def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text: str = "text") -> None:
-    """Scan the blobs of versions that the ledger lacks under this rule version, and append them."""
-    spark = versions.sparkSession
+def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str | None = None, text: str = "text") -> str:
+    """Scan the blobs of versions that the ledger lacks under this rule version, and append them; returns the version."""
+    spark, version = versions.sparkSession, version or version_of(rules)
     bodies = addressed(versions.select(F.coalesce(F.col(text), F.lit("")).alias(text)), text)
     known = ledger_of(spark, ledger)
     unseen = None
@@ -137,8 +143,9 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     if unseen is not None and not small:
         blobs = blobs.join(unseen, "blob", "left_semi")
     made = blobs.select("blob", F.lit(version).alias("version"), scan(F.col("body"), rules).alias("found"))
-    made.write.mode("append").parquet(ledger)
+    made.write.mode("append").partitionBy("version").parquet(ledger)
     tables.drop(*tables.at)
+    return version
 
 
 def hits_of(spark: SparkSession, ledger: str, version: str) -> DataFrame:
@@ -153,10 +160,10 @@ def sized(hits: DataFrame) -> DataFrame:
     return F.broadcast(hits) if size <= BROADCAST_BYTES else hits
 
 
-def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text: str = "text") -> DataFrame:
+def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str | None = None, text: str = "text") -> DataFrame:
     """versions without its text, with blob and found (empty: nothing found), through the ledger."""
     versions = versions.drop("blob", "found")
-    update_ledger(versions, ledger, rules, version, text)
+    version = update_ledger(versions, ledger, rules, version, text)
     hits = hits_of(versions.sparkSession, ledger, version)
     paths = addressed(versions, text).drop(text)
     return paths.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
@@ -177,9 +184,9 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(found) > MANY, many).when(F.size(found) > 0, plain).otherwise(text)
 
 
-def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, version: str | None = None) -> DataFrame:
     """docs with every finding in text replaced, through the ledger; an n_chars column follows the new text."""
-    update_ledger(docs, ledger, rules, version)
+    version = update_ledger(docs, ledger, rules, version)
     hits = sized(hits_of(docs.sparkSession, ledger, version))
     rows = addressed(pack(docs), "text").join(hits, "blob", "left")
     out = unpack(rows.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found")))), docs)

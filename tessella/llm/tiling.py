@@ -23,6 +23,7 @@ however long; a column named leaks is replaced, all others pass through.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -224,6 +225,18 @@ class Benchmark:
         return by_id([x for x in out if x])
 
 
+_indexes: dict[tuple, Benchmark] = {}
+
+
+def index_of(name: str, items: list[tuple], min_match: int, threshold: float) -> Benchmark:
+    """One index of a broadcast benchmark for each worker, kept for its other tasks."""
+    key = (name, min_match, threshold)
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = Benchmark(items, min_match, threshold)
+    return _indexes[key]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, most_bytes: int = BENCHMARK_BYTES, text: str = "text") -> DataFrame:
     """docs with leaks: the items that each document covers to the threshold or more. most_bytes: of a benchmark that is broadcast."""
     spark = docs.sparkSession
@@ -233,11 +246,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
         return joined_leaks(docs, benchmark, min_match, threshold, text)
     rows, (body,) = numbered(docs, text)
     sent = spark.sparkContext.broadcast([tuple(r) for r in benchmark.orderBy("item_id", "text").collect()])
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessella.llm.tiling import LEAKS, Benchmark
+        from tessella.llm.tiling import LEAKS, index_of
 
-        index = Benchmark(sent.value, min_match, threshold)
+        index = index_of(name, sent.value, min_match, threshold)
         for b in batches:
             found = [index.leaks(t.as_py() or "") for t in b.column(body)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, LEAKS)], names=[*b.schema.names, "leaks"])

@@ -3,7 +3,9 @@
 A host is turned round label by label ("a.b.net" -> "net.b.a."), so that a rule's host and all
 its subdomains are one interval of keys. URLs and rules are dealt by ranges of that key, a rule
 to each range that its interval touches; within a range one sweep in key order keeps a stack of
-the intervals that are open, which nest. A URL looks only at the stack.
+the intervals that are open, which nest. A URL looks only at the stack. (A rule's host and path are
+no single interval: its subdomains lie between them in the key. So the paths of each host's rules are
+intervals of their own, nested in the same way.)
 
 The longest fitting rule (host and path together) wins; among equally long ones blocking wins,
 then the rule's text. A hot host is split by key and, where one key spans several ranges, by a
@@ -14,6 +16,7 @@ replaced.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,11 +43,40 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
+class Paths:
+    """The rules of one host by path. Paths are intervals too: in order, each knows the nearest one before it that it continues."""
+
+    def __init__(self) -> None:
+        self.rules: dict[str, tuple] = {}
+        self.ordered: list[str] | None = None
+
+    def add(self, path: str, found: tuple) -> None:
+        self.rules[path] = min(self.rules.get(path, found), found)
+        self.ordered = None
+
+    def nested(self) -> list[str]:
+        self.ordered, self.above, held = sorted(self.rules), [], []
+        for i, path in enumerate(self.ordered):
+            while held and not path.startswith(self.ordered[held[-1]]):
+                held.pop()
+            self.above.append(held[-1] if held else -1)
+            held.append(i)
+        return self.ordered
+
+    def longest(self, path: str) -> tuple | None:
+        """The rule of the longest path that this one starts with."""
+        ordered = self.ordered if self.ordered is not None else self.nested()
+        i = bisect_right(ordered, path) - 1
+        while i >= 0 and not path.startswith(ordered[i]):
+            i = self.above[i]
+        return self.rules[ordered[i]] if i >= 0 else None
+
+
 class Sweep:
     """Open intervals, outermost first; each holds its rules by path."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, str, dict[str, tuple]]] = []
+        self.stack: list[tuple[str, str, Paths]] = []
         self.part = None
 
     def to(self, part: int, key: str) -> None:
@@ -55,27 +87,24 @@ class Sweep:
 
     def rule(self, key: str, end: str, path: str, text: str, verdict: str) -> None:
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, end, {}))
-        paths = self.stack[-1][2]
-        found = (verdict != "block", text, verdict)
-        paths[path] = min(paths.get(path, found), found)
+            self.stack.append((key, end, Paths()))
+        self.stack[-1][2].add(path, (verdict != "block", text, verdict))
 
     def url(self, path: str) -> tuple[str | None, str | None]:
         best = None
         for _, _, paths in self.stack:
-            for size in {len(p) for p in paths}:
-                found = paths.get(path[:size]) if len(path) >= size else None
-                if found:
-                    rank = (-len(found[1]), found[0], found[1])
-                    if best is None or rank < best[0]:
-                        best = (rank, found)
+            found = paths.longest(path)
+            if found:
+                rank = (-len(found[1]), found[0], found[1])
+                if best is None or rank < best[0]:
+                    best = (rank, found)
         return (best[1][1], best[1][2]) if best else (None, None)
 
 
 def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = Sweep()
     for b in batches:
-        c = b.to_pydict()
+        c = {n: b.column(n).to_pylist() for n in ("_part", "_key", "_kind", "_path", "_end", "_rule", "_verdict")}
         keep, rules, verdicts = [], [], []
         for i, (part, key, kind) in enumerate(zip(c["_part"], c["_key"], c["_kind"], strict=True)):
             at.to(part, key)

@@ -193,9 +193,15 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of a folder that write_archives has committed; a file that isn't as its folder says raises."""
+    """The records of a folder that write_archives has committed.
+
+    The files that are there are held against the manifest first (a job over names and lengths): a
+    missing, foreign or shortened file raises, and so does, while reading, one whose digest or number
+    of records isn't what its folder says.
+    """
     ship(spark)
-    first = read_manifest(spark, folder).select("file").first()
+    manifest = read_manifest(spark, folder)
+    first = manifest.select("file").first()
     run_id = first.file.split("/")[0] if first else None
     schema = spark.createDataFrame([], RECORDS).schema
     names = schema.names
@@ -208,12 +214,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 rows, size, content = [], 0, content.as_py()
                 if f"/sha256={hashlib.sha256(content[:-1]).hexdigest()}/" not in file.as_py():  # behind it lies one byte of padding
                     raise ValueError(f"damaged archive {file.as_py()}")
+                told, n = int(file.as_py().split("/records=")[1].split("/")[0]), 0
                 for m in members(content):
                     rows.append(parse(m))
-                    size += len(m)
+                    size, n = size + len(m), n + 1
                     if size > 8 << 20:
                         yield batch(rows)
                         rows, size = [], 0
+                if n != told:
+                    raise ValueError(f"{file.as_py()} has {n} records, not {told}")
                 yield batch(rows)
 
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -223,8 +232,13 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     if run_id is None:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/{run_id}").select("path", "content")
-    return files.mapInArrow(run, schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{folder}/{run_id}")
+    inside = F.concat(F.lit(f"{run_id}/"), F.substring_index("path", f"/{run_id}/", -1))
+    there = files.select(inside.alias("file"), F.col("length").alias("here"))
+    odd = manifest.select("file", "bytes").join(there, "file", "full_outer").where("bytes IS NULL OR here IS NULL OR bytes <> here").orderBy("file").first()
+    if odd is not None:
+        raise ValueError(f"{odd.file}: the manifest has {odd.bytes} bytes of it, the folder {odd.here}")
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,15 @@ def test_a_text_above_a_blocks_size(docs, monkeypatch):
     rows = [(1, text[1000:3000]), (2, text), (3, text[:80])]
     got = suffix_dedup.drop_repeats(docs(rows, extra=["n_bytes", "a.b"]))
     assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()) == brute([(d, t.encode()) for d, t in rows])
+
+
+def test_rows_equal_in_all_are_spread_over_blocks(spark):
+    from tessella.llm.blocks import Blocks, StoredBlocks
+
+    same = spark.createDataFrame([(None, "a" * 2000)] * 600, "doc_id long, text string").repartition(16)
+    for blocks in (Blocks(same, 60_000), StoredBlocks(same, 20_000)):
+        sizes = [r["count"] for r in blocks.rows.groupBy("block").count().collect()]
+        assert sum(sizes) == 600 and len(sizes) >= 8 and max(sizes) < 200
+    different = spark.range(2000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "rpad(string(id), 500, 'x') AS text").coalesce(1)
+    sizes = [r["count"] for r in Blocks(different, 150_000).rows.groupBy("block").count().collect()]
+    assert len(sizes) == 7 and max(sizes) < 500

@@ -31,6 +31,8 @@ def test_secret_spans_and_ledger(spark, docs):
     secrets.findings(docs([(9, odd), (10, "new token: abcdefghijk")]).select("doc_id", "text"), ledger).count()
     assert spark.read.parquet(ledger).count() == 5  # only the new blob was scanned
     rule = (secrets.Rule("word", "nothing", 0, 1),)
+    edited = secrets.findings(df.select("doc_id", "text"), ledger, rule)  # other rules without a name: everything is scanned again
+    assert edited.where(F.size("found") > 0).count() == 2 and spark.read.parquet(ledger).where("version = '" + secrets.version_of(rule) + "'").count() == 4
     again = secrets.findings(df.select("doc_id", "text"), ledger, rule, "words-1")
     assert again.where(F.size("found") > 0).count() == 2 and spark.read.parquet(ledger).where("version = 'words-1'").count() == 4
 

@@ -93,6 +93,38 @@ def test_a_stopped_run_leaves_nothing_that_is_read(spark):
         warc.write_archives(pages, folder)
 
 
+def test_missing_foreign_and_damaged_files_raise(spark):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string, part int")
+
+    def written():
+        folder = warc.write_archives(pages, work_folder(spark, "test-warc"), roll_bytes=300)
+        return folder, sorted(m.file for m in warc.read_manifest(spark, folder).collect())
+
+    fs, path = warc.file_system(spark, written()[0])
+    folder, files = written()
+    fs.delete(path(f"{folder}/{files[1]}"), False)
+    with pytest.raises(ValueError, match="None"):
+        warc.read_archives(spark, folder)
+    folder, files = written()
+    spark.range(1).selectExpr("'x'").write.text(f"{folder}/{files[0].split('/')[0]}/name=9/records=1/sha256=0")
+    with pytest.raises(ValueError, match="the manifest has None bytes"):
+        warc.read_archives(spark, folder)
+    folder, files = written()
+    whole = bytes(spark.read.format("binaryFile").load(f"{folder}/{files[0]}").first().content)
+    out = fs.create(path(f"{folder}/{files[0]}"), True)
+    out.write(bytearray(whole[:30] + bytes([whole[30] ^ 1]) + whole[31:]))
+    out.close()
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.read_archives(spark, folder).count()
+
+
+def test_many_path_rules_of_one_host(spark):
+    rules = spark.range(20_000).selectExpr("'example.net' AS host", "concat('/', repeat('d/', int(id % 40)), id) AS path", "'block' AS verdict")
+    urls = spark.range(4000).selectExpr("id AS page_id", "concat('http://w', id % 7, '.example.net/', repeat('d/', int(id % 40)), id, '/x') AS url")
+    got = url_rules.judge_urls(urls, rules).selectExpr("verdict", "rule = concat('example.net/', repeat('d/', int(page_id % 40)), page_id) AS same").groupBy("verdict", "same").count().collect()
+    assert [tuple(r) for r in got] == [("block", True, 4000)]
+
+
 def test_one_page_id_and_null_ids_are_split(spark):
     rows = spark.range(600).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS page_id", "'u' AS url", "repeat(string(id), 300) AS html")
     folder = warc.write_archives(rows, work_folder(spark, "test-warc"), part_bytes=20_000)

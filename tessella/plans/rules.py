@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity, text
-from tessella.operators import extraction, ledger, models, nodes, places, requests, sampling, sequences, services
+from tessella.operators import extraction, languages, ledger, models, nodes, places, requests, sampling, sequences, services
 from tessella.plans.catalogue import customers_placed, suppliers_placed
 from tessella.plans.registry import T, joined, query
 from tessella.sources import clients
@@ -182,6 +182,23 @@ def language_told(s, d):
     return T(s, d, "documents").select("doc_id", text.language(F.col("text")).alias("told"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, lang, length(trim(text)) >= 40 AS enough, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')) AS word FROM documents),
+  c AS (SELECT doc_id, lang, enough, '_' || word || '_' AS m FROM w),
+  g AS (SELECT doc_id, lang, enough, n AS size, substr(m, i::INT, n::INT) AS gram FROM c, range(1, 4) t(n), LATERAL (SELECT unnest(range(1, length(m) - n + 2)) AS i)),
+  k AS MATERIALIZED (SELECT lang, gram, any_value(size) AS size, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
+  h AS (SELECT DISTINCT gram, size FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM k) WHERE r <= 1500),
+  t AS (SELECT lang, size, sum(n) AS total FROM k GROUP BY lang, size), v AS (SELECT size, count(*) AS kinds FROM h GROUP BY size),
+  p AS MATERIALIZED (SELECT h.gram, t.lang, round(1000 * ln((coalesce(k.n, 0) + 0.5) / (t.total::DOUBLE + 0.5 * v.kinds)))::BIGINT AS weight
+    FROM h JOIN t ON t.size = h.size JOIN v ON v.size = h.size LEFT JOIN k ON k.lang = t.lang AND k.gram = h.gram),
+  s AS (SELECT d.doc_id, p.lang, sum(d.n * p.weight) AS score FROM (SELECT doc_id, gram, count(*) AS n FROM g WHERE enough GROUP BY doc_id, gram) d JOIN p USING (gram) GROUP BY ALL),
+  b AS (SELECT doc_id, lang AS told FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+  SELECT doc_id, told FROM documents LEFT JOIN b USING (doc_id)""")
+def language_profiles(s, d):
+    """Languages by n-gram profiles of all labelled documents."""
+    docs = T(s, d, "documents").select("doc_id", "text", "lang")
+    return languages.told(docs, "doc_id", "text", *languages.fit(docs, "text", "lang"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE CASE p_size % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' END END AS model,
                  CASE p_size % 3 WHEN 0 THEN 'full_page' WHEN 1 THEN 'region' END AS strategy,
                  CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 3 = 2 THEN 'unknown backend none' WHEN p_size % 3 = 0 AND p_size % 7 = 0 THEN 'no api key' WHEN p_size % 3 = 1 AND p_size % 7 = 1 THEN 'no host' END AS stops FROM part""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import bands, similarity, text
-from tessella.operators import extraction, ledger, models, nodes, pages, places, requests, sampling, scoring, sequences
+from tessella.operators import extraction, ledger, models, nearest, nodes, pages, places, requests, sampling, scoring, sequences
 from tessella.plans.registry import T, joined, query
 from tessella.sources.sequences import newick_tips, regrouped
 
@@ -55,7 +55,7 @@ NEAR_SQL = """SELECT c_custkey, s_suppkey, c_name, s_name, c_mktsegment, sqrt((c
 @query(f"""SELECT c_custkey, s_suppkey, round(distance, 6) AS distance, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY distance, s_suppkey) AS rank FROM ({NEAR_SQL})) WHERE rank <= 5""")
 def spatial_match(s, d):
-    near = places.near(customers_placed(s, d), suppliers_placed(s, d), "x", "y", 0.25)
+    near = nearest.nearest(customers_placed(s, d), suppliers_placed(s, d), "x", "y", 5, 0.25, tie=["s_suppkey"])
     best = places.top(near.select("l.c_custkey", "r.s_suppkey", "distance"), ["c_custkey"], [F.col("distance"), F.col("s_suppkey")], 5)
     return best.withColumn("distance", F.round("distance", 6))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.shipping import ship
+from tessella.operators.wildcards import redundant
 
 # The nucleotides each ambiguity letter stands for.
 AMBIGUITY = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
@@ -293,13 +294,7 @@ def redundant_taxa(df: DataFrame, by: list[str], taxon: str, seq: str) -> DataFr
     """Taxa whose sequence is another's up to unknowns: the one with fewer residues goes, of equals the one named second."""
     bare = F.translate(F.upper(seq), "-", "")
     rows = df.select(*by, F.col(taxon).alias("t"), bare.alias("s"), F.length(F.regexp_replace(bare, "[NX?]", "")).alias("n"))
-    # Those that agree have equal length; the exact test follows within a length.
-    a, b = rows.alias("a"), rows.alias("b")
-    key = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.length("a.s") == F.length("b.s"), F.col("a.t") < F.col("b.t")]
-    fits = F.forall(F.zip_with(F.split("a.s", ""), F.split("b.s", ""), lambda x, y: (x == y) | x.isin("N", "X", "?") | y.isin("N", "X", "?")), lambda v: v)
-    hit = a.join(b, key).where(fits)
-    loser = F.when(F.col("a.n") < F.col("b.n"), F.col("a.t")).otherwise(F.col("b.t"))
-    return hit.select(*(F.col(f"a.{c}") for c in by), loser.alias(taxon)).distinct()
+    return redundant(rows, by).withColumnRenamed("t", taxon).distinct()
 
 
 def trimmed(df: DataFrame, by: list[str], taxon: str, seq: str, drop: DataFrame) -> DataFrame:

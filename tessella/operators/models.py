@@ -57,6 +57,19 @@ def state_count(areas: int, most: int, with_null: bool = True) -> int:
     return sum(math.comb(areas, k) for k in range(0 if with_null else 1, min(most, areas) + 1))
 
 
+def state_counts(areas: Column, most: Column, with_null: bool = True) -> Column:
+    """state_count of columns: ranges of at most `most` of so many areas (binomials one from another)."""
+    start = F.struct(F.lit(1).cast("long").alias("binomial"), F.lit(1 if with_null else 0).cast("long").alias("sum"))
+
+    def more(acc: Column, k: Column) -> Column:
+        binomial = F.floor(acc["binomial"] * (areas - k + 1) / k).cast("long")
+        return F.struct(binomial.alias("binomial"), (acc["sum"] + binomial).alias("sum"))
+
+    upto = F.least(areas, most)
+    steps = F.when(upto > 0, F.sequence(F.lit(1), F.greatest(upto, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, start, more, lambda acc: acc["sum"])
+
+
 # The model families and what sets each apart.
 FAMILIES = {"BAYAREALIKE": {"s": False, "v": False, "y": 1.0}, "DIVALIKE": {"s": False, "v": True, "y": 0.5}, "DEC": {"s": True, "v": True, "y": 1.0}}
 
@@ -69,6 +82,15 @@ def model_options(name: str) -> dict:
     return {"family": family, "founder": "+J" in name, **FAMILIES[family]}
 
 
+def options_of(name: Column) -> Column:
+    """model_options of a column of names, as a struct; an unknown model raises."""
+    out = F.raise_error(F.concat(F.lit("unknown model "), name))
+    for family, sets in reversed(FAMILIES.items()):
+        told = F.struct(F.lit(family).alias("family"), F.contains(name, F.lit("+J")).alias("founder"), *(F.lit(v).alias(k) for k, v in sets.items()))
+        out = F.when(F.contains(name, F.lit(family)), told).otherwise(out)
+    return out
+
+
 PRESENT = ("1", "present", "Present", "TRUE", "True")
 
 

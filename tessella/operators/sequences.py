@@ -22,6 +22,12 @@ def even_window(w: int | None) -> int:
     return w + w % 2
 
 
+def even_width(w: Column) -> Column:
+    """even_window of a column."""
+    given = F.coalesce(w.cast("int"), F.lit(WINDOW))
+    return given + given % 2
+
+
 def columns_of(df: DataFrame, by: list[str], taxon: str, seq: str) -> DataFrame:
     """One row for each symbol: (by, taxon, pos, ch), positions from 0."""
     return df.select(*by, taxon, F.posexplode(F.filter(F.split(F.upper(seq), ""), lambda c: c != "")).alias("pos", "ch"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import bands, similarity, text
 from tessella.operators import extraction, ledger, models, nearest, nodes, pages, places, requests, sampling, scoring, sequences
 from tessella.plans.registry import T, joined, query
-from tessella.sources.sequences import newick_tips, regrouped
+from tessella.sources.sequences import regrouped
 
 
 def customers_placed(s, d):
@@ -155,16 +155,6 @@ def placeholder_resolve(s, d):
     return nodes.resolve(batches, back).select("id", "parent_ref")
 
 
-OSM = "(1, 1, 'city', 'place', 'city', 0, 'us'), (1, 2, '', 'boundary', 'administrative', 8, 'us'), (1, 3, '', 'boundary', 'administrative', 6, 'us'), (2, 1, '', 'leisure', 'park', 0, 'br'), (3, 1, '', 'highway', 'path', 0, 'fr'), (4, 1, '', 'boundary', 'administrative', 6, 'fr'), (4, 2, 'hamlet', 'place', 'hamlet', 0, 'fr'), (5, 1, '', 'boundary', 'administrative', 5, 'it'), (5, 2, '', 'boundary', 'national_park', 0, 'it'), (5, 3, '', 'boundary', 'administrative', 2, 'it')"
-
-
-@query("SELECT * FROM (VALUES (1, 'City', 'medium', 3::BIGINT), (2, 'LMA', 'high', 1), (3, NULL, 'low', 0), (4, 'Department', 'low', 2), (5, 'Region', 'low', 3)) AS t(q, suggested_rank, confidence, candidates)")
-def osm_rank_rules(s, d):
-    rows = s.sql(f"SELECT * FROM VALUES {OSM} AS t(q, n, place, category, kind, level, country)")
-    ranked = rows.withColumn("rank", nodes.rank_of(F.col("place"), F.col("category"), F.col("kind"), F.col("level"), F.col("country")))
-    return nodes.rank_vote(ranked, "q", "n", "rank")
-
-
 @query("SELECT o_orderkey, c_name AS irn, o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def irn_backfill(s, d):
     ids = T(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("irn"))
@@ -614,24 +604,11 @@ def supermatrix(s, d):
     return sequences.supermatrix(rows, "p_brand", "p_size", "seq")[0]
 
 
-@query("SELECT p::BIGINT AS p, (3 * p - 2 + k)::BIGINT AS nucleotide FROM range(1, 101) AS t(p), range(3) AS u(k)")
-def codon_positions(s, d):
-    return sequences.codon_positions(s.range(1, 101).toDF("p"), "p")
-
-
 @query("""SELECT c_custkey, (CASE WHEN regexp_full_match(c_name, '[A-Za-z0-9_-]*') THEN '' ELSE 'characters,' END) || 'shape' AS faults FROM customer""")
 def name_rules(s, d):
     return T(s, d, "customer").select("c_custkey", F.array_join(text.name_faults(F.col("c_name")), ",").alias("faults"))
 
 
-LINEAGE_SQL = "VALUES " + ", ".join(f"('{n}', {'NULL' if up is None else repr(up)})" for n, _, _, up in models.LINEAGES)
-
-
-@query(f"WITH RECURSIVE l(n, up) AS ({LINEAGE_SQL}), a AS (SELECT n AS lineage, n AS ancestor, 0 AS steps FROM l UNION ALL SELECT a.lineage, l.up, steps + 1 FROM a JOIN l ON a.ancestor = l.n WHERE l.up IS NOT NULL) SELECT * FROM a")
-def lineage_ancestors(s, d):
-    return models.ancestors(s)
-
-
 @query("SELECT p_brand, taxa, breadth, i::INT AS position, m AS model FROM (SELECT p_brand, count(*) AS taxa FROM part GROUP BY p_brand) JOIN (VALUES " + ", ".join(f"('{b}', {lo}, {hi}, {i + 1}, '{m}')" for b, lo, hi, ms in models.MODEL_SETS for i, m in enumerate(ms)) + ") AS r(breadth, lo, hi, i, m) ON taxa BETWEEN lo AND hi")
 def model_sets(s, d):
     return models.recommended(T(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("taxa")), "taxa")
@@ -650,12 +627,6 @@ def geo_matrix(s, d):
     return models.presence_matrix(pairs, "c_mktsegment", "r_name", areas)
 
 
-@query("SELECT * FROM (VALUES ('Homo_sapiens', '110'), ('Pan_paniscus', '001'), ('x', '000')) AS t(species, bits)")
-def geo_reformat(s, d):
-    rows = s.sql("SELECT * FROM VALUES ('Homo sapiens', '1', 'present', '0'), (' Pan paniscus', 'no', 'yes', 'TRUE'), ('x', null, '', 'absent') AS t(name, a, b, c)")
-    return models.presence_rows(rows, "name", ["a", "b", "c"])
-
-
 @query("SELECT n_nationkey, CASE WHEN n_name LIKE '% %' THEN 'space in name,' ELSE '' END || CASE WHEN n_regionkey > 1 THEN 'symbols' ELSE '' END AS faults FROM nation")
 def geo_validate(s, d):
     line = F.concat_ws("\t", "n_name", F.concat(F.col("n_regionkey").cast("string"), F.lit("01")))
@@ -697,11 +668,6 @@ def lrt_p(s, d):
     return models.ratio_tests(fits(s, d), ["n_regionkey"]).select("n_regionkey", "base", F.round("p", 6).alias("p"), "significant")
 
 
-@query("SELECT a::INT AS areas, m::INT AS most, (SELECT sum(factorial(a::INT) // (factorial(k::INT) * factorial((a - k)::INT))) FROM range(0, least(a, m) + 1) AS t(k))::BIGINT AS states FROM range(2, 8) AS x(a), range(1, 6) AS y(m)")
-def state_count(s, d):
-    return s.createDataFrame([(a, m, models.state_count(a, m)) for a in range(2, 8) for m in range(1, 6)], "areas int, most int, states long")
-
-
 # ---- ledger and requests
 
 
@@ -789,19 +755,9 @@ def enrich_stub(s, d):
     return made.select("c_custkey", "known.half")
 
 
-@query("SELECT * FROM (VALUES ('Part #:', 'catalog'), ('Qty', 'quantity'), ('Project/grant', 'account'), ('Requested by', 'requester'), ('Shipping Notes', 'shipping_notes')) AS t(field, canonical)")
-def field_synonyms(s, d):
-    rows = s.sql("SELECT * FROM VALUES ('Part #:'), ('Qty'), ('Project/grant'), ('Requested by'), ('Shipping Notes') AS t(field)")
-    return rows.select("field", requests.field_name(F.col("field")).alias("canonical"))
-
-
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def ledger_dates(s, d):
     rows = T(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "d-MMM-yyyy").alias("t"))
     return rows.select("o_orderkey", F.date_format(text.ledger_date(F.col("t")), "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT * FROM (VALUES ('A'), ('B'), ('C d_1')) AS t(tip) WHERE tip <> 'C d_1' UNION ALL SELECT 'C'")
-def newick_names(s, d):
-    rows = s.sql("SELECT '((A:1,B:2)x,C:3);' AS tree")
-    return rows.select(F.explode(newick_tips(F.col("tree"))).alias("tip"))

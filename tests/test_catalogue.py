@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tessella.plans import catalogue, files, nested, resampling, rules, streams  # noqa: F401  each registers its queries
+from tessella.plans import catalogue, files, nested, resampling, rules, single, streams  # noqa: F401  each registers its queries
 from tessella.plans.registry import CATALOGUE
 
 DATA = "/root/testdata/sf0.001"

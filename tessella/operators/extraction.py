@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from tessella.functions.json_repair import try_json
 from tessella.functions.shipping import ship
 from tessella.functions.text import or_blank
 from tessella.operators.variants import Schema, as_variant
+from tessella.sources.lookups import Lookups
 
 
 def triage_status(title: Column, abstract: Column) -> Column:
@@ -112,16 +114,25 @@ def exploded(df: DataFrame, records: str, paper: list[str]) -> DataFrame:
 Lookup = Callable[[str, dict], dict | None]
 
 
-def enriched(df: DataFrame, field: str, output: str, lookup: Lookup, schema: str, parameters: dict | None = None, tries: int = 3) -> DataFrame:
+def enriched(df: DataFrame, field: str, output: str, lookup: Lookup, schema: str, parameters: dict | None = None, tries: int = 3, wait: float = 0.0, rate: float | None = None, tasks: int = 4, cache: str | None = None) -> DataFrame:
     """df with what an external service says of a field's values; each distinct value is asked for once.
 
-    Blank values and 'none' are not asked for. A call that fails is tried again; then, as for a
-    service that knows nothing, the result is null.
+    Blank values and 'none' are not asked for. A call that fails is tried again after wait, twice
+    wait and so on; then, as for a service that knows nothing, the result is null. rate bounds the
+    calls a second of the whole job, which `tasks` tasks make then. cache: a folder with the answers of
+    earlier runs (lookups.Lookups), one for each service and set of parameters; only what it lacks is
+    asked for, while the plan is made, and what is answered is added.
     """
     ask = (or_blank(F.trim(F.col(field))) != "") & (F.lower(F.trim(F.col(field))) != "none")
     keys = df.where(ask).select(F.col(field).alias("_key")).distinct()
     names = T.StructType.fromDDL(schema).fieldNames()
     ship(df.sparkSession)
+    held = Lookups(df.sparkSession, cache, schema) if cache else None
+    if held:
+        keys = keys.join(held.known().select(F.col("key").alias("_key")), "_key", "left_anti")
+    pause = tasks / rate if rate else 0.0
+    if rate:
+        keys = keys.repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,11 +144,18 @@ def enriched(df: DataFrame, field: str, output: str, lookup: Lookup, schema: str
                         break
                     except OSError:
                         found = None
+                        time.sleep(wait * 2**attempt)
+                    finally:
+                        time.sleep(pause)
                 if found is not None:
                     rows.append([key, *(found.get(n) for n in names)])
             yield pd.DataFrame(rows, columns=["_key", *names], dtype=object)
 
-    known = keys.mapInPandas(run, f"_key string, {schema}").select("_key", F.struct(*names).alias(output))
+    answers = keys.mapInPandas(run, f"_key string, {schema}")
+    if held:
+        held.add(answers.withColumnRenamed("_key", "key"))
+        answers = held.known().withColumnRenamed("key", "_key")
+    known = answers.select("_key", F.struct(*names).alias(output))
     return df.drop(output).join(known, F.col(field) == F.col("_key"), "left").drop("_key")
 
 

@@ -252,6 +252,18 @@ def resumed_calls(s, d):
     return resume.resume(todo, at, "c_custkey", lambda row: {"answer": f"a{row['c_custkey']}", "attempts": 9}, "answer string, attempts int", wait=0.0).drop("status")
 
 
+@query("SELECT c_custkey, 'first ' || c_mktsegment AS answer, CASE WHEN c_nationkey % 3 > 0 THEN (CASE WHEN c_nationkey < 12 THEN 'first ' ELSE 'second ' END) || c_nationkey END AS other FROM customer")
+def cached_lookups(s, d):
+    """Segments and nations looked up in two runs each over one cache: what the first run has had answered is not asked for again."""
+    at = work_folder(s, "lookups")
+    say = lambda word, most: lambda value, _: None if value.isdigit() and (int(value) % 3 == 0 or int(value) >= most) else {"answer": f"{word} {value}"}
+    rows = T(s, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
+    for word, most in (("first", 12), ("second", 1000)):
+        out = extraction.enriched(rows, "c_mktsegment", "a", say(word, most), "answer string", cache=f"{at}/segments")
+        out = extraction.enriched(out, "nation", "b", say(word, most), "answer string", cache=f"{at}/nations")
+    return out.select("c_custkey", F.col("a.answer").alias("answer"), F.col("b.answer").alias("other"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 2) THEN 'error' ELSE 'success' END AS status, CASE c_custkey % 5 WHEN 0 THEN 'busy' WHEN 2 THEN 'not to be tried again' END AS error FROM customer")
 def retried_calls(s, d):
     made = resume.called(T(s, d, "customer").select("c_custkey"), flaky({}), "answer string, attempts int", wait=0.0, pause=0.0)
@@ -374,7 +386,7 @@ def service_clients(s, d):
     config = [{"field": "n_name", "api": name, "output_field": f"x_{name}", "extra_params": extra.get(name)} for name in clients.SERVICES]
     made = services.enriched_by(rows, [*config, {"field": "n_name", "api": "place", "output_field": "x_bare"}], schemas)
     return made.select(
-        "c_custkey", F.col("x_taxon.matched_name").alias("taxon"), "x_taxon.taxon_id", F.col("x_plant.matched_name").alias("plant"), F.col("x_place.matched_name").alias("place"), F.col("x_bare.matched_name").alias("unasked"),
+        "c_custkey", F.col("x_taxon.matched_name").alias("taxon"), F.col("x_taxon.gbif_id").alias("taxon_id"), F.col("x_plant.matched_name").alias("plant"), F.col("x_place.matched_name").alias("place"), F.col("x_bare.matched_name").alias("unasked"),
         "x_address.latitude", "x_compound.cid", F.col("x_compound.molecular_formula").alias("formula"), F.col("x_gene.gene_id").alias("gene"),
     )
 

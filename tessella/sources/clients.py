@@ -31,25 +31,26 @@ class Service:
     headers: dict[str, str] = field(default_factory=dict)
     needs: tuple[str, ...] = ()  # parameters without which it isn't asked
     given: dict[str, tuple[str, str]] = field(default_factory=dict)  # a parameter that changes a query entry, and its form then
+    made: dict[str, str] = field(default_factory=dict)  # further fields, from those of the answer
 
 
 # Addresses and answers of the public services.
 SERVICES = {
     "taxon": Service("https://api.gbif.org/v1/species/match", {"name": "{value}"}, (), {
         "matched_name": ("canonicalName",), "scientific_name": ("scientificName",), "rank": ("rank",), "kingdom": ("kingdom",), "phylum": ("phylum",), "class": ("class",), "order": ("order",),
-        "family": ("family",), "genus": ("genus",), "taxon_id": ("usageKey",), "confidence": ("confidence",), "match_type": ("matchType",), "status": ("status",),
+        "family": ("family",), "genus": ("genus",), "gbif_id": ("usageKey",), "confidence": ("confidence",), "match_type": ("matchType",), "status": ("status",),
     }, ("matchType", "NONE")),
     "plant": Service("http://www.worldfloraonline.org/api/1.0/search", {"query": "{value}"}, ("results", 0), {
-        "matched_name": ("name",), "scientific_name": ("scientificName",), "authors": ("authors",), "family": ("family",), "taxon_id": ("wfoId",), "status": ("status",),
+        "matched_name": ("name",), "scientific_name": ("scientificName",), "authors": ("authors",), "family": ("family",), "wfo_id": ("wfoId",), "status": ("status",),
     }),
     "place": Service("http://api.geonames.org/searchJSON", {"q": "{value}", "maxRows": "1", "username": "{username}", "country": "{country}"}, ("geonames", 0), {
-        "matched_name": ("name",), "country": ("countryName",), "country_code": ("countryCode",), "admin1": ("adminName1",), "admin2": ("adminName2",), "latitude": ("lat",), "longitude": ("lng",), "place_id": ("geonameId",),
+        "matched_name": ("name",), "country": ("countryName",), "country_code": ("countryCode",), "admin1": ("adminName1",), "admin2": ("adminName2",), "latitude": ("lat",), "longitude": ("lng",), "geonames_id": ("geonameId",),
     }, needs=("username",)),
     "address": Service("https://nominatim.openstreetmap.org/search", {"q": "{value}", "format": "json", "limit": "1"}, (0,), {
         "display_name": ("display_name",), "latitude": ("lat",), "longitude": ("lon",), "osm_type": ("osm_type",), "osm_id": ("osm_id",), "place_rank": ("place_rank",),
     }, headers={"User-Agent": "tessella"}),
-    "compound": Service("https://pubchem.ncbi.nlm.nih.gov/rest/pug/compound/name/{value}/JSON", {}, ("PC_Compounds", 0), {"cid": ("id", "id", "cid"), "molecular_formula": ("props", 0, "value", "sval")}),
-    "gene": Service("https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi", {"db": "gene", "term": "{value}", "retmode": "json"}, ("esearchresult", "idlist"), {"gene_id": (0,)}, given={"organism": ("term", "{value}[Gene Name] AND {organism}[Organism]")}),
+    "compound": Service("https://pubchem.ncbi.nlm.nih.gov/rest/pug/compound/name/{value}/JSON", {}, ("PC_Compounds", 0), {"cid": ("id", "id", "cid"), "molecular_formula": ("props", 0, "value", "sval")}, made={"pubchem_url": "https://pubchem.ncbi.nlm.nih.gov/compound/{cid}"}),
+    "gene": Service("https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi", {"db": "gene", "term": "{value}", "retmode": "json"}, ("esearchresult", "idlist"), {"gene_id": (0,)}, given={"organism": ("term", "{value}[Gene Name] AND {organism}[Organism]")}, made={"ncbi_url": "https://www.ncbi.nlm.nih.gov/gene/{gene_id}"}),
 }
 
 
@@ -106,13 +107,14 @@ def lookup_of(name: str, fetch: Fetch = fetch_json) -> Lookup:
         if not found or (service.unless and part(found, service.unless[:1]) == service.unless[1]):
             return None
         made = {n: part(found, path) for n, path in service.fields.items()}
-        return {n: None if v is None else str(v) for n, v in made.items()}
+        told = {n: None if v is None else str(v) for n, v in made.items()}
+        return told | {n: form.format(**told) for n, form in service.made.items()}
 
     return call
 
 
 def schema_of(name: str) -> str:
-    return ", ".join(f"`{n}` string" for n in SERVICES[name].fields)
+    return ", ".join(f"`{n}` string" for n in (*SERVICES[name].fields, *SERVICES[name].made))
 
 
 # ---- language models and page recognition

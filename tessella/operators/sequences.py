@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.joining import joined_tree
 from tessella.functions.shipping import ship
 from tessella.operators.wildcards import redundant
 
@@ -99,25 +100,6 @@ def closest_pair(distances: DataFrame, by: list[str]) -> DataFrame:
     return d.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "a", "b", "distance", "relative")
 
 
-def joined_tree(names: list[str], d: np.ndarray) -> str:
-    """Newick text by neighbour joining; ties go to the pair named first."""
-    nodes, d = list(names), d.astype(float).copy()
-    while len(nodes) > 2:
-        n, r = len(nodes), d.sum(axis=1)
-        q = np.round(d - (r[:, None] + r[None, :]) / max(n - 2, 1), 9)
-        q[np.tril_indices(n)] = np.inf
-        i, j = np.unravel_index(np.argmin(q), q.shape)
-        lift = (d[i, j] + (r[i] - r[j]) / max(n - 2, 1)) / 2
-        new = (d[i] + d[j] - d[i, j]) / 2
-        label = f"({nodes[i]}:{lift:.6f},{nodes[j]}:{d[i, j] - lift:.6f})"
-        keep = [k for k in range(n) if k not in (i, j)]
-        grown = np.zeros((len(keep) + 1, len(keep) + 1))
-        grown[1:, 1:] = d[np.ix_(keep, keep)]
-        grown[0, 1:] = grown[1:, 0] = new[keep]
-        nodes, d = [label, *(nodes[k] for k in keep)], grown
-    return f"({nodes[0]}:{d[0, 1]:.6f},{nodes[1]}:0.000000);" if len(nodes) == 2 else f"{nodes[0] if nodes else ''};"
-
-
 def trees(distances: DataFrame, by: str) -> DataFrame:
     """One neighbour-joining tree for each locus from its (a, b, distance) rows."""
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from tessella.functions.shipping import ship
 from tessella.functions.text import blank_to_null, doi, identifier, number
+from tessella.sources.split import numbered_records, records, with_heads
 
 # An export's columns, what they are called here, and which are numbers.
 EXPORT_COLUMNS = {
@@ -208,9 +209,14 @@ def papers_from_dois(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bibtex(spark: SparkSession, path: str, pdf_folder: str | None = None) -> DataFrame:
-    """One paper for each BibTeX entry; authors as 'Last First', the PDF from the file field's first PDF part."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.posexplode(F.split(F.concat(F.lit("\n"), "value"), r"\n\s*@")).alias("n", "entry")).where("n > 0")
+    """One paper for each BibTeX entry; authors as 'Last First', the PDF from the file field's first PDF part.
+
+    A file is read in splits, an entry ends before a line that begins with an at sign. What stands before a file's first entry is left out.
+    """
+    # A record lacks the at sign that began it, other than a file's first one; entries whose at sign is indented are cut here.
+    rows = with_heads(records(spark, path, "\n@"))
+    body = F.concat(F.when(F.col("at") == F.col("head"), F.lit("\n")).otherwise(F.lit("\n@")), "value")
+    entries = rows.select(F.posexplode(F.split(body, r"\n\s*@")).alias("n", "entry")).where("n > 0")
     name = lambda f: F.regexp_replace(F.trim(F.regexp_extract("entry", rf"(?is)[,\n]\s*{f}\s*=\s*[{{\"](.*?)[}}\"]\s*(?:,\s*\n|\n\s*\}}|\}}\s*$)", 1)), r"[{}]", "")
     people = F.filter(F.split(F.regexp_replace(name("author"), r"\s+", " "), " and "), lambda x: F.trim(x) != "")
 
@@ -234,8 +240,9 @@ def read_ris(spark: SparkSession, path: str, pdfs: DataFrame | None = None) -> D
 
     pdfs has (path): a paper's file is looked for as id, author_year, then its DOI.
     """
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.posexplode(F.split("value", r"(?m)^ER  -.*$")).alias("n", "entry")).where(F.col("entry").rlike(r"(?m)^TY  -"))
+    # A record begins with the rest of the line that ended the one before it.
+    rows = numbered_records(spark, path, "\nER  -")
+    entries = rows.select("n", F.when(F.col("n") > 0, F.regexp_replace("value", r"^[^\n]*", "")).otherwise(F.col("value")).alias("entry")).where(F.col("entry").rlike(r"(?m)^TY  -"))
     every = lambda *tags: F.regexp_extract_all("entry", F.lit(rf"(?m)^(?:{'|'.join(tags)})  - *(.*?)\s*$"), F.lit(1))
     one = lambda *tags: F.coalesce(F.get(every(*tags), F.lit(0)), F.lit(""))
     year = F.regexp_extract(one("PY", "Y1"), r"(\d{4})", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.shipping import ship
+from tessella.sources.split import records, with_heads
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -37,9 +38,9 @@ def fasta_text(header: Column, seq: Column) -> Column:
 
 
 def read_partition_info(spark: SparkSession, path: str) -> DataFrame:
-    """(locus, start, end) behind two header lines; lines of fewer than three fields are left out."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("n >= 2")
+    """(locus, start, end) behind two header lines; lines of fewer than three fields are left out. A file is read in splits."""
+    rows = with_heads(records(spark, path, "\n"))
+    lines = rows.where("block > 0 OR at > head + 1").select(F.regexp_replace("value", r"\r$", "").alias("line"))
     parts = F.split("line", "\t")
     return lines.where(F.size(parts) >= 3).select(F.trim(parts[0]).alias("locus"), F.trim(parts[1]).cast("int").alias("start"), F.trim(parts[2]).cast("int").alias("end"))
 

@@ -226,6 +226,29 @@ def registered_services(s, d):
     return made.select("c_custkey", F.col("found.name").alias("taxon"), "found.level", F.col("other.found").alias("unknown"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 > 0 THEN 'nation ' || c_nationkey END AS taxon, CASE WHEN c_nationkey % 3 = 2 THEN c_nationkey + 1 END AS level, upper(c_mktsegment) AS segment,
+    CASE WHEN c_nationkey % 3 > 0 THEN 'other ' || c_nationkey END AS other, NULL::VARCHAR AS unknown, string_agg(coalesce('key ' || k, '-'), ',' ORDER BY i) AS keys
+  FROM customer, (VALUES (0), (1), (2)) v(i), LATERAL (SELECT CASE WHEN (c_custkey + i) % 3 > 0 THEN (c_custkey + i) % 100 END AS k) GROUP BY ALL""")
+def table_of_services(s, d):
+    """Five mappings, one of them into an array's elements, through one table function."""
+
+    def taxa(value, parameters):
+        n = int(value)
+        return None if n % 3 == 0 else {"name": f"{parameters['prefix']} {n}", "level": n + 1 if n % 3 == 2 else None}
+
+    extra = lambda prefix: {"extra_params": {"prefix": prefix}}
+    config = [
+        {"field": "nation", "api": "taxa", "output_field": "found", **extra("nation")}, {"field": "nation", "api": "taxa", "output_field": "again", **extra("other")},
+        {"field": "c_mktsegment", "api": "segments", "output_field": "seg"}, {"field": "nation", "api": "no such service", "output_field": "nothing"}, {"field": "records.k", "api": "keys", "output_field": "key"},
+    ]
+    record = lambda i: F.struct(F.when((F.col("c_custkey") + i) % 3 > 0, (F.col("c_custkey") + i) % 100).alias("k"), F.lit(i).alias("i"))
+    rows = T(s, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"), F.array(*map(record, range(3))).alias("records"))
+    calls = {"taxa": taxa, "segments": lambda value, _: {"segment": value.upper()}, "keys": lambda value, _: {"key": f"key {value}"}}
+    made = services.enriched_all(rows, config, {"taxa": "name string, level int", "segments": "segment string", "keys": "key string"}, calls)
+    keys = F.array_join(F.transform("records", lambda r: F.coalesce(r["key"]["key"], F.lit("-"))), ",")
+    return made.select("c_custkey", F.col("found.name").alias("taxon"), "found.level", "seg.segment", F.col("again.name").alias("other"), F.col("nothing.found").alias("unknown"), keys.alias("keys"))
+
+
 # ---- resuming
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import byte_bpe, jaccard, quality, secrets, tiling
-from tessella.llm.runtime import pack, table, unpack, work_folder
+from tessella.llm.runtime import pack, remove, table, unpack, work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = work_folder(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)  # nothing reads it any more
+        before = at
     return docs

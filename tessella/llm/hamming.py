@@ -5,7 +5,7 @@
 2. Rotations that make balanced binary codes are learned by iterative quantisation (principal axes,
    then alternately the signs and the rotation nearest to them) on at most SAMPLE nodes of least hash.
    How often a bit differs in a pair of a given cosine is measured on the sample; the number of
-   tables follows from it: a pair of cosine AIM meets in one table at least with probability CHANCE.
+   tables follows from it: a pair just at the threshold meets in one table at least with probability CHANCE.
 3. Each code is cut into keys of about log2(nodes) bits; each key is a table. Only codes (four longs)
    travel to the tables. Codes that share a key and differ in at most `radius` bits are joined: not as pairs but
    as one row for each code, which names the least node that it meets. A key that more than RUN codes
@@ -18,8 +18,8 @@
    blocks. Each pair is seen once, so counts are exact for all pairs that the tables find together.
    Links, too, leave as one row a node.
 
-Recall against all pairs is 1.0 on the tables at hand (near copies at a cosine of 0.976 and more); at the
-threshold itself the tables find fewer (see the README). Precision is 1: every link is a computed cosine or certain.
+Recall against all pairs is 1.0 on the tables at hand (near copies at a cosine of 0.976 and more), and about CHANCE
+for pairs just at the threshold (figures in the README). Precision is 1: every link is a computed cosine or certain.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another length
 than `dims` (None: the most frequent length, of equally frequent ones the smaller) link with nothing;
@@ -42,7 +42,7 @@ from tessella.llm.runtime import Tables, quoted, shuffle_width, ship, table
 from tessella.llm.vectors import matrix, plain_vectors, usable
 
 SAMPLE = 4096
-AIM, CHANCE = 0.92, 0.95
+CHANCE = 0.95
 STEPS = 20
 #: Codes of a key, or nodes of a group, that are compared whole.
 RUN = 512
@@ -66,7 +66,7 @@ class Index:
         axes = np.linalg.svd(unit - self.middle, full_matrices=True)[2][: self.bits].T
         self.rotations = [axes @ learned((unit - self.middle) @ axes, seed) for seed in range(WORDS)]
         per = self.bits // self.key_bits
-        miss = lambda: math.log(1 - (1 - self.flips(unit, AIM).mean()) ** self.key_bits + 1e-12)
+        miss = lambda: math.log(1 - (1 - self.flips(unit, threshold).mean()) ** self.key_bits + 1e-12)
         self.tables = max(1, math.ceil(math.log(1 - CHANCE) / miss()))
         for seed in range(WORDS, math.ceil(self.tables / per)):
             self.rotations.append(axes @ learned((unit - self.middle) @ axes, seed))

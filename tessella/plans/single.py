@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text
-from tessella.operators import draws, extraction, models, nodes, pages, requests, scoring, sequences
+from tessella.operators import extraction, models, nodes, pages, pairwise, requests, scoring, sequences
 from tessella.plans.registry import T, query
 from tessella.sources.scratch import work_folder, write_text
 from tessella.sources.sequences import newick_tips, read_matrix
@@ -154,8 +154,9 @@ def matrix_scores(s, d):
     rows = "".join(x + "".join(f" {4 + 0.25 * (i + 1) if x == y else -1.5}" for y in RESIDUES) + "\n" for i, x in enumerate(RESIDUES))
     matrix = read_matrix(s, write_text(s, f"{work_folder(s, 'matrix')}/m.txt", f"# a matrix\n  {' '.join(RESIDUES)}\n{rows}"))
     seqs = T(s, d, "supplier").select("s_nationkey", "s_suppkey", F.translate(F.md5("s_name"), "0123456789b", "GHIKLMNPQRS").alias("seq"))
-    pairs = sequences.pairs(seqs, ["s_nationkey"], "s_suppkey", "seq")
-    return pairs.select("s_nationkey", "a", "b", F.round(draws.matrix_sum(F.col("seq_a"), F.col("seq_b"), matrix), 6).alias("score"))
+    table = sequences.score_table(RESIDUES + "-", "aa", matrix)
+    made = pairwise.matrix_sums(seqs, ["s_nationkey"], "s_suppkey", "seq", RESIDUES, table)
+    return made.withColumn("score", F.round(F.round("score", 9), 6))
 
 
 @query("""WITH p AS (SELECT p_brand, pos, count(DISTINCT ch) AS n FROM (SELECT p_brand, p_partkey, i::INT - 1 AS pos, upper(substr(md5(p_name), i::INT, 1)) AS ch FROM part, range(1, 33) AS r(i)) GROUP BY ALL),

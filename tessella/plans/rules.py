@@ -72,15 +72,18 @@ PLACED_SQL = f"""SELECT c_custkey, s_suppkey, sqrt((c_acctbal / 1000 - s_acctbal
 
 
 def leveled(continent, country, locality):
-    return dict(zip(places.LEVELS, (continent, country, blank(), blank(), blank(), locality), strict=True))
+    return dict(zip(places.LEVELS, (continent, country, F.lit(""), F.lit(""), F.lit(""), locality), strict=True))
 
 
 @query(f"SELECT c_custkey, s_suppkey, score, CASE WHEN score + 60 >= 90 AND (distance * 111000 < 100 OR names > 0.95) THEN 'exact' WHEN score + 60 >= 60 THEN 'near' ELSE 'none' END AS class FROM ({PLACED_SQL})")
 def match_scores(s, d):
-    near = places.near(customers_placed(s, d), suppliers_placed(s, d), "x", "y", 0.25)
-    own, record = leveled(F.col("l.c_mktsegment"), F.col("l.c_name"), F.col("l.c_name")), leveled(F.col("r.s_name"), F.col("r.s_name"), blank())
-    score = places.match_score(own, record, similarity.by_levenshtein)
-    rows = near.select("l.c_custkey", "r.s_suppkey", "distance", score.alias("score"), similarity.by_levenshtein(F.lower("l.c_name"), F.lower("r.s_name")).alias("names"))
+    name = similarity.canonical
+    customers = customers_placed(s, d).select("c_custkey", "x", "y", F.lower("c_name").alias("lower"), name(F.col("c_name")).alias("c_name"), name(F.col("c_mktsegment")).alias("c_mktsegment"))
+    suppliers = suppliers_placed(s, d).select("s_suppkey", "x", "y", F.lower("s_name").alias("lower"), name(F.col("s_name")).alias("s_name"))
+    near = places.near(customers, suppliers, "x", "y", 0.25)
+    own, record = leveled(F.col("l.c_mktsegment"), F.col("l.c_name"), F.col("l.c_name")), leveled(F.col("r.s_name"), F.col("r.s_name"), F.lit(""))
+    score = places.match_score(own, record, similarity.by_levenshtein, told=True)
+    rows = near.select("l.c_custkey", "r.s_suppkey", "distance", score.alias("score"), similarity.by_levenshtein(F.col("l.lower"), F.col("r.lower")).alias("names"))
     return rows.select("c_custkey", "s_suppkey", "score", places.match_class(F.col("score") + 60, F.col("distance") * places.METRES, F.col("names")).alias("class"))
 
 

@@ -52,7 +52,8 @@ def filled(df: DataFrame, doc: str, page: str, value: str, name: str = "filled")
     """The last known value up to each page; pages before the first known one take that."""
     w = Window.partitionBy(doc).orderBy(page)
     forward = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    backward = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Only pages before the first known one need it, and theirs is the document's first; a frame from each page on would be read again for each.
+    backward = F.first(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn(name, F.coalesce(forward, backward))
 
 

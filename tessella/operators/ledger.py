@@ -13,9 +13,9 @@ ENTERTAINMENT = (6455, 6460, 6470, 6475)
 
 def reconciled(receipts: DataFrame, rows: DataFrame, number: str) -> DataFrame:
     """(number, status): receipts no row names, and rows' numbers without a receipt. Several rows may share one."""
-    a = receipts.select(number).where(F.col(number).isNotNull()).distinct()
-    b = rows.select(number).where(F.col(number).isNotNull()).distinct()
-    return a.join(b, number, "left_anti").withColumn("status", F.lit("orphaned_receipt")).unionByName(b.join(a, number, "left_anti").withColumn("status", F.lit("missing_file")))
+    side = lambda df, paper: df.select(number, F.lit(paper).alias("_a"), F.lit(not paper).alias("_b")).where(F.col(number).isNotNull())
+    met = side(receipts, True).unionByName(side(rows, False)).groupBy(number).agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b"))
+    return met.where("NOT (_a AND _b)").select(number, F.when(F.col("_a"), "orphaned_receipt").otherwise("missing_file").alias("status"))
 
 
 def next_number(df: DataFrame, number: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import or_blank, words_in
+from tessella.sources.scratch import stored
 
 SIZES = (1, 2, 3)
 MOST = 1500
@@ -33,7 +34,8 @@ def fit(df: DataFrame, text: str, language: str, most: int = MOST, sizes: tuple[
     most `most` rows for each language; languages are collected (MOST_LANGUAGES at most).
     """
     known = df.where(F.col(language).isNotNull()).select(F.col(language).alias("lang"), F.explode(words_in(F.col(text))).alias("word"))
-    counts = known.groupBy("lang", "word").agg(F.count("*").alias("n")).select("lang", "n", F.explode(grams(F.col("word"), sizes)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    words = stored(known.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")  # all figures below come from these, so texts are read once
+    counts = words.select("lang", "n", F.explode(grams(F.col("word"), sizes)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     names = sorted(r.lang for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -55,9 +57,11 @@ def told(df: DataFrame, key: str, text: str, languages: list[str], profile: Data
     """
     if not languages:
         return df.select(key, F.lit(None).cast("string").alias("told"))
-    rows = df.where(F.length(F.trim(or_blank(F.col(text)))) >= least).select(key, F.explode(words_in(F.col(text))).alias("word"))
-    met = rows.select(key, F.explode(grams(F.col("word"), sizes)).alias("gram")).join(F.broadcast(profile), "gram")
-    sums = met.groupBy(key).agg(*(F.sum(F.col("weights")[i]).alias(f"_{i}") for i in range(len(languages))))
+    rows = df.where(F.length(F.trim(or_blank(F.col(text)))) >= least).select(key, F.explode(words_in(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    # What a word says is the same in all texts, so it is cut and looked up once; texts meet words, not n-grams.
+    met = rows.select("word").distinct().select("word", F.explode(grams(F.col("word"), sizes)).alias("gram")).join(F.broadcast(profile), "gram")
+    words = met.groupBy("word").agg(*(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(languages))))
+    sums = rows.join(words, "word").groupBy(key).agg(*(F.sum(F.col("n") * F.col(f"w{i}")).alias(f"_{i}") for i in range(len(languages))))
     best = F.array_max(F.array(*(F.struct(F.col(f"_{i}").alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("told")) for i, n in enumerate(languages))))
     made = sums.select(key, best["told"].alias("told"))
     return df.select(key).join(made, key, "left")

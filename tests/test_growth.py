@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity
-from tessella.operators import ledger, pages, places
+from tessella.operators import languages, ledger, pages, places
 
 
 def plan(df):
@@ -39,3 +39,9 @@ def test_canonical_values_score_the_same(spark):
     level = places.parent_score([a, b], [b, a, a], places.PARENT_WEIGHTS, 1, similarity.by_levenshtein)
     told_level = places.parent_score(ready, [ready[1], ready[0], ready[0]], places.PARENT_WEIGHTS, 1, similarity.by_levenshtein, told=True)
     assert all(r[0] == r[1] and r[2] == r[3] for r in rows.select(own, told, level, told_level).collect())
+
+
+def test_profiles_read_texts_once(spark):
+    df = spark.createDataFrame([(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en")], "doc long, text string, lang string")
+    names, profile = languages.fit(df, "text", "lang")
+    assert names == ["de", "en"] and "text" not in plan(profile).replace("textfile", "")

@@ -12,9 +12,10 @@ removed; matches never cross documents and are judged on the input.
    the collection BWT with longest common prefixes of all that share their route: in each round, every segment that
    is long enough inserts its next symbol from the right, and the two sequences are read and written
    from front to back. A bucket's segments are in collections of about COLLECTION_BYTES, those of
-   one route in one. Runs of common prefixes of WINDOW or more are equal windows; their least id
+   one route in one; of a segment only what lies between the first and the last window that may occur
+   twice in the bucket, by its hash, is in one. Runs of common prefixes of WINDOW or more are equal windows; their least id
    goes back to the blocks. So the collections decide every window that two different segments
-   share; a segment alone with its route is a collection of one text, whose windows all have the
+   share; a segment whose windows occur nowhere else is a collection of one text, whose windows all have the
    least id that has it.
 4. A block marks the windows whose least id is smaller than the document's.
 
@@ -112,12 +113,15 @@ class Segments:
     def keys(self, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (owner, 32 bits of route) in order, how many ids have each (255 at most), and each segment's index in them."""
         combined = (self.route >> np.uint64(32)) % np.uint64(owners) << np.uint64(32) | self.route & np.uint64(0xFFFFFFFF)
-        distinct, index = np.unique(combined, return_inverse=True)
-        pairs = np.unique(index.astype(np.int64) * len(self.ids) + self.doc)
-        which, doc = pairs // max(1, len(self.ids)), self.ids[pairs % max(1, len(self.ids))]
-        # Documents are in the order of their ids: within a key, ids rise.
-        new = np.r_[True, (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])] if len(which) else np.zeros(0, dtype=bool)
-        count = np.bincount(which[new], minlength=len(distinct)) if len(which) else np.zeros(0, dtype=np.int64)
+        order = np.argsort(combined, kind="stable")
+        distinct, at = grouped(combined[order])
+        index = np.empty(len(order), dtype=np.int64)
+        index[order] = np.repeat(np.arange(len(distinct)), np.diff(at))
+        # Segments are in the order of their documents, and these in the order of their ids: within a key, ids rise.
+        doc = self.ids[self.doc[order]]
+        new = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, dtype=bool)
+        new[at[:-1]] = True
+        count = np.add.reduceat(new.astype(np.int64), at[:-1]) if len(distinct) else np.zeros(0, dtype=np.int64)
         return distinct, np.minimum(count, 255), index
 
 
@@ -173,28 +177,25 @@ def travellers(own: Segments, owners: int, replies: list[bytes]):
     if len(code) != len(distinct):
         raise ValueError(f"{len(code)} replies for {len(distinct)} routes")
     code = np.maximum(code, (count > 1).astype(np.uint8))[index]
-    known: dict[bytes, int] = {}
-    texts: list[bytes] = []
-    hashes: list[int] = []
-    starts, lengths, segment = [], [], []
     chosen = np.flatnonzero(code)
+    split = code[chosen] > 1
+    times = np.where(split, own.length[chosen], 1)
+    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts = np.repeat(own.start[chosen], times) + inner
+    lengths = np.repeat(np.where(split, 1, own.length[chosen]), times)
+    # A whole segment and a single window of it never meet: a route is either split or not, for all blocks.
+    known: dict[bytes, int] = {}
     buffer = own.buffer
-    for s, n, c, h in zip(own.start[chosen].tolist(), own.length[chosen].tolist(), code[chosen].tolist(), own.route[chosen].tolist(), strict=True):
-        for at, size in ((s, n),) if c == 1 else [(x, 1) for x in range(s, s + n)]:
-            text = buffer[at : at + size + WINDOW - 1]
-            # A whole segment and a single window of it never meet: a route is either split or not, for all blocks.
-            k = known.get(text)
-            if k is None:
-                k = known[text] = len(texts)
-                texts.append(text)
-                hashes.append(h if c == 1 else xxhash.xxh64_intdigest(text))
-            starts.append(at)
-            lengths.append(size)
-            segment.append(k)
-    starts, lengths, segment = (np.array(x, dtype=np.int64) for x in (starts, lengths, segment))
+    segment = np.array([known.setdefault(buffer[a:b], len(known)) for a, b in zip(starts.tolist(), (starts + lengths + WINDOW - 1).tolist(), strict=True)], dtype=np.int64)
+    texts = list(known)
+    # Equal texts have equal hashes, so any occurrence tells a text's.
+    hashes, alone = np.empty(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=bool)
+    hashes[segment], alone[segment] = np.repeat(own.route[chosen], times), np.repeat(split, times)
+    for k in np.flatnonzero(alone).tolist():
+        hashes[k] = xxhash.xxh64_intdigest(texts[k])
     least = np.full(len(texts), NULL_ID, dtype=np.int64)
     np.minimum.at(least, segment, own.ids[np.searchsorted(own.ends, starts, side="right")])
-    return texts, np.array(hashes, dtype=np.uint64), least, starts, lengths, segment
+    return texts, hashes, least, starts, lengths, segment
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,6 +328,32 @@ def least_ids(texts: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list
     return np.split(out, at[1:-1])
 
 
+def common(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its first window that another place of the texts may hold too, and how many windows there are to its last such one (0: none).
+
+    Told by hashes, and equal windows have equal ones: every window that two texts share is among these.
+    """
+    first, windows = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    if not texts:
+        return first, windows
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    room = np.ones(int(ends[-1]), dtype=bool)
+    for k in range(1, WINDOW):
+        room[ends - k] = False
+    at = np.flatnonzero(room)
+    h = gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), WINDOW)[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(at), dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    at = at[twice]
+    who, heads = grouped(np.searchsorted(ends, at, side="right"))
+    first[who] = at[heads[:-1]] - (ends - sizes)[who]
+    windows[who] = at[heads[1:] - 1] - at[heads[:-1]] + 1
+    return first, windows
+
+
 def reply(least: np.ndarray, varied: np.ndarray, windows: list[np.ndarray]) -> bytes:
     """One id for each segment; where it varies, one for each of its windows behind them all."""
     return zlib.compress(b"".join([np.int64(len(least)).tobytes(), least.tobytes(), varied.tobytes(), *(w.tobytes() for w in windows)]), 1)
@@ -348,39 +375,36 @@ def meet(buckets: int):
 
     def step(table: pa.Table) -> pa.Table:
         found: dict[bytes, int] = {}
-        texts: list[bytes] = []
-        hashes: list[int] = []
-        sent = []
+        sent, routes = [], []
         for packed, sizes, h in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "hashes")), strict=True):
-            data, at, mine = zlib.decompress(packed), 0, []
-            for size, route in zip(np.frombuffer(sizes, dtype=np.uint8).tolist(), np.frombuffer(h, dtype=np.uint32).tolist(), strict=True):
-                text = data[at : at + size]
-                at += size
-                k = found.get(text)
-                if k is None:
-                    k = found[text] = len(texts)
-                    texts.append(text)
-                    hashes.append(route)
-                mine.append(k)
-            sent.append(np.array(mine, dtype=np.int64))
+            data, cuts = zlib.decompress(packed), np.cumsum(np.r_[0, np.frombuffer(sizes, dtype=np.uint8).astype(np.int64)]).tolist()
+            sent.append(np.array([found.setdefault(data[a:b], len(found)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], dtype=np.int64))
+            routes.append(np.frombuffer(h, dtype=np.uint32))
+        texts = list(found)
+        hashed = np.zeros(len(texts), dtype=np.uint64)
         least = np.full(len(texts), NULL_ID, dtype=np.int64)
-        for mine, ids in zip(sent, table.column("least").to_pylist(), strict=True):
+        for mine, h, ids in zip(sent, routes, table.column("least").to_pylist(), strict=True):
+            hashed[mine] = h
             np.minimum.at(least, mine, np.frombuffer(ids, dtype=np.int64))
-        hashed = np.array(hashes, dtype=np.uint64)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
         # Equal windows have equal hashes, so texts of one hash go to one collection; a text alone with its hash shares no window with another.
         _, same, times = np.unique(hashed, return_inverse=True, return_counts=True)
-        shared = times[same] > 1 if len(texts) else np.zeros(0, dtype=bool)
-        parts = max(1, -(-int(sizes[shared].sum()) // COLLECTION_BYTES))
-        part = np.where(shared, (mixed(hashed) % np.uint64(parts)).astype(np.int64), -1)
-        answers = {k: least[k : k + 1] for k in np.flatnonzero(~shared).tolist()}
+        shared = np.flatnonzero(times[same] > 1) if len(texts) else np.zeros(0, dtype=np.int64)
+        first, windows = common([texts[k] for k in shared.tolist()])
+        shared, first, windows = shared[windows > 0], first[windows > 0], windows[windows > 0]
+        parts = max(1, -(-int((windows + WINDOW - 1).sum()) // COLLECTION_BYTES))
+        part = (mixed(hashed[shared]) % np.uint64(parts)).astype(np.int64)
+        # Most texts have one id for all their windows.
+        top, varied, answers = least.copy(), np.zeros(len(texts), dtype=bool), {}
         for p in range(parts):
             some = np.flatnonzero(part == p)
             if len(some):
-                answers |= zip(some.tolist(), least_ids([texts[k] for k in some.tolist()], least[some]), strict=True)
-        # Most texts have one id for all their windows.
-        top = np.array([answers[k].min() for k in range(len(texts))], dtype=np.int64)
-        varied = np.array([(answers[k] != top[k]).any() for k in range(len(texts))], dtype=bool)
+                taken = list(zip(shared[some].tolist(), first[some].tolist(), windows[some].tolist(), strict=True))
+                for (k, a, n), ids in zip(taken, least_ids([texts[k][a : a + n + WINDOW - 1] for k, a, n in taken], least[shared[some]]), strict=True):
+                    if (ids != least[k]).any():
+                        answers[k] = np.full(len(texts[k]) - WINDOW + 1, least[k], dtype=np.int64)
+                        answers[k][a : a + n] = ids
+                        top[k] = answers[k].min()
+                        varied[k] = (answers[k] != top[k]).any()
         return pa.table(
             {
                 "block": table.column("block").cast(pa.int32()).combine_chunks(),

@@ -85,6 +85,28 @@ def test_windows_that_segments_share_are_decided_by_a_collection(docs, monkeypat
     assert several and several <= decided
 
 
+def test_segments_that_share_a_route_but_no_window_need_no_construction(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    gram, passage = text(30), text(90)
+    rows = [(i, text(40) + gram + text(40)) for i in range(40)]
+    taken = []
+    monkeypatch.setattr(suffix_dedup, "least_ids", lambda texts, ids, old=suffix_dedup.least_ids: taken.extend(texts) or old(texts, ids))
+
+    def run(rows):
+        table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows]), "block": pa.array([0] * len(rows), pa.int32())})
+        told = suffix_dedup.tell_shared(1500)(suffix_dedup.ask(1)(table))
+        made = suffix_dedup.remove(1, 1, False)(table, pa.concat_tables([told, suffix_dedup.meet(1)(suffix_dedup.send(1, 1)(table, told))]))
+        assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in made.to_pylist()) == sorted(brute([(i, t.encode()) for i, t in rows]))
+
+    run(rows)
+    assert not taken
+    run([*rows, (90, text(40) + passage), (91, passage + text(40)), (92, text(10) + passage[:60] + text(10))])
+    assert taken and all(t in passage.encode() for t in taken)
+
+
 def test_a_text_above_a_blocks_size(docs, monkeypatch):
     monkeypatch.setattr(blocks.Blocks.__init__, "__defaults__", (500,))
     r = random.Random(3)

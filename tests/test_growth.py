@@ -45,3 +45,19 @@ def test_profiles_read_texts_once(spark):
     df = spark.createDataFrame([(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en")], "doc long, text string, lang string")
     names, profile = languages.fit(df, "text", "lang")
     assert names == ["de", "en"] and "text" not in plan(profile).replace("textfile", "")
+
+
+def test_spatial_match_of_dense_places_makes_no_pairs(spark, tmp_path, monkeypatch):
+    from tessella.plans import catalogue  # noqa: F401  registers its queries
+    from tessella.plans.registry import CATALOGUE
+
+    place = (F.col("id") * 37 % 250).cast("double")
+    spark.range(900).select(F.col("id").alias("c_custkey"), F.lit("c").alias("c_name"), F.lit("m").alias("c_mktsegment"), place.alias("c_acctbal"), F.lit(3).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(700).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name"), place.alias("s_acctbal"), F.lit(3).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(places, "near", None)  # all pairs within the tolerance: 630,000 here
+    got = {}
+    for r in CATALOGUE["spatial_match"][0](spark, str(tmp_path)).collect():
+        got.setdefault(r.c_custkey, {})[r["rank"]] = (r.distance, r.s_suppkey)
+    for c in (0, 17, 899):
+        best = sorted((((c * 37 % 250 / 1000 - s * 37 % 250 / 1000) ** 2) ** 0.5, s) for s in range(700))[:5]
+        assert [s for _, s in best] == [got[c][i][1] for i in range(1, 6)] and len(got) == 900

@@ -47,3 +47,21 @@ def test_pairs_in_proportion(spark):
 def test_known_sequences_make_no_pairs(spark):
     rows = spark.range(3000).selectExpr("'g' AS g", "string(id) AS s", "id AS first", "id AS n")
     assert wildcards.agreeing_groups(rows, ["g"]).count() == 0
+
+
+def test_few_unknown_letters_need_no_tree(spark, monkeypatch):
+    r = random.Random(7)
+    bases = ["".join(r.choice("0123456789abcdef") for _ in range(12)) for _ in range(300)]
+    rows = [("g", i, "".join("?" if k in (i % 13, i % 7 + 3) else c for k, c in enumerate(r.choice(bases)))) for i in range(1500)]
+    monkeypatch.setattr(wildcards, "agreeing_groups", None)
+    got = sequences.redundant_taxa(spark.createDataFrame(rows, "g string, t long, s string"), ["g"], "t", "s")
+    assert {tuple(x) for x in got.collect()} == brute(rows)
+
+
+@pytest.mark.parametrize(("size", "told"), [(3, 2), (5, 1), (7, 3), (12, 4), (12, 8), (31, 2), (31, 9), (40, 8)])
+def test_two_sequences_share_a_seed_that_is_known_in_both(size, told):
+    sets = [set(x) for x in wildcards.seed_columns(size, told)]
+    r = random.Random(size)
+    for _ in range(2000):
+        hidden = set(r.sample(range(size), min(size, 2 * wildcards.FEW)))
+        assert any(not s & hidden for s in sets)

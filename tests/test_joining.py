@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -53,3 +54,16 @@ def test_three_thousand_taxa():
     began = time.time()
     assert joined_tree([f"t{i}" for i in range(3000)], d).count("(") == 2999
     assert time.time() - began < 120  # on a machine that other work shares
+
+
+def test_a_tree_needs_little_beside_its_matrix():
+    n = 1200
+    d = matrix(np.random.default_rng(5), n, "points")
+    tracemalloc.start()
+    try:
+        tree = joined_tree([f"t{i}" for i in range(n)], d)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # Its copy of the matrix takes 8 bytes a cell.
+    assert tree.count("(") == n - 1 and peak < 16 * n * n
